@@ -20,10 +20,10 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_ngram_jaccard_join, op9_benchmark_decontamination)}
 
-_WORDS = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\x{80}-\x{10FFFF}]+'), x -> x <> '')"
+_WORDS = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\x{80}-\x{10FFFF}]+'), lambda x: x <> '')"
 _SHINGLES = """
   select {id} as id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-    else list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) end)) as s
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as s
   from (select {id}, {words} as w from {table})"""
 
 _OP9 = f"""
