@@ -15,9 +15,13 @@ import unicodedata
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from ._shared import span_hashes
 
 LIMIT = 0x250
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 500_000
 SPLIT_CHARS = 50_000
 _SPACE = "\\t-\\r \\x85\\xa0"
 
@@ -41,6 +45,10 @@ _UNSURE = re.compile("[^\\x00-\\x1b -\\u024f]")
 _TWO_SPACES = re.compile(f"[{_SPACE}] ")
 
 
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
 class Encoder:
     """Encodes texts as the file's library does, without added special tokens.
 
@@ -70,7 +78,7 @@ class Encoder:
         self.merge = sum if counting else b"".join
         self.none = self.merge([])
         self.pieces: dict[str, bytes | int] = {}
-        self.chunks: dict[str, bytes | int] = {}
+        self.chunks: dict[int, bytes | int] = {}
 
     def whole(self, text: str) -> bytes | int:
         return self.value(self.library.encode(text, add_special_tokens=False).ids)
@@ -82,7 +90,7 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Encode pre-tokens that are not known yet."""
-        if len(self.pieces) > 2 * MEMO_ENTRIES:
+        if len(self.pieces) > MEMO_ENTRIES:
             self.pieces.clear()
         value = self.value
         for a in range(0, len(new), 4000):
@@ -94,48 +102,85 @@ class Encoder:
         wanted = set().union(*lists)
         new = wanted - self.pieces.keys()
         if new:
-            if len(self.pieces) + len(new) > 2 * MEMO_ENTRIES:
+            if len(self.pieces) + len(new) > MEMO_ENTRIES:
                 self.pieces.clear()
                 new = wanted
             self._learn(list(new))
 
     def ids(self, texts: list[str | None]) -> list:
         """The ids of each text; a null text has none."""
-        merge = self.merge
         out: list = [self.none] * len(texts)
-        plain: list[tuple[int, list[str]]] = []
+        plain: list[int] = []
         for i, t in enumerate(texts):
             if not t:
                 continue
             if not self.sure(t):
                 out[i] = self.whole(t)
-            elif self.kind == "word":
-                plain.append((i, t.lower().split()))
-            elif _TWO_SPACES.search(t):
-                lists = [_BYTE.findall(t)]
-                self._know(lists)
-                out[i] = merge(map(self.pieces.__getitem__, lists[0]))
-            else:  # no run of white space crosses a cut before a blank
-                first, *rest = t.split(" ")
-                plain.append((i, [first, *[" " + x for x in rest]]))
-        wanted = set().union(*[x for _, x in plain])
-        new = wanted - self.chunks.keys()
+            elif self.kind == "byte" and _TWO_SPACES.search(t):
+                pieces = _BYTE.findall(t)
+                self._know([pieces])
+                out[i] = self.merge(map(self.pieces.__getitem__, pieces))
+            else:
+                plain.append(i)
+        for i, x in zip(plain, self._plain([texts[i] for i in plain]), strict=True):
+            out[i] = x
+        return out
+
+    def _plain(self, texts: list[str]) -> list:
+        """ids() of sure texts, in which no run of white space crosses a cut before a blank.
+
+        Each text falls into chunks between white space (or, where white space counts, before each
+        blank), which no pre-token crosses. Chunks are told apart by a 64-bit hash, so that only
+        the distinct ones of a batch become strings.
+        """
+        if not texts:
+            return []
+        strings = pa.array(texts, pa.large_string())
+        if self.kind == "word":
+            strings = pc.utf8_lower(strings)
+        offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+        raw = np.frombuffer(strings.buffers()[2], np.uint8)
+        heads = offsets[:-1]
+        if self.kind == "word":
+            solid = ~_BLANK[raw]
+            first = solid.copy()
+            first[1:] &= ~solid[:-1]
+            first[heads] = solid[heads]
+            last = solid.copy()
+            last[:-1] &= ~solid[1:]
+            last[offsets[1:] - 1] = solid[offsets[1:] - 1]
+            starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        else:
+            first = raw == 32
+            first[heads] = True
+            starts = np.flatnonzero(first)
+            ends = np.append(starts[1:], len(raw))
+        distinct, where, code = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        new = [i for i, k in enumerate(keys) if k not in self.chunks]
         if len(self.chunks) + len(new) > MEMO_ENTRIES:
             self.chunks.clear()
-            new = wanted
+            new = range(len(keys))
         find = (_WORD if self.kind == "word" else _BYTE).findall
-        names = list(new)
-        for a in range(0, len(names), 100_000):
-            part = names[a : a + 100_000]
-            lists = [find(x) for x in part]
-            self._know(lists)
-            get = self.pieces.__getitem__
-            for x, pieces in zip(part, lists, strict=True):
-                self.chunks[x] = get(pieces[0]) if len(pieces) == 1 else merge(map(get, pieces))
-        get = self.chunks.__getitem__
-        for i, x in plain:
-            out[i] = merge(map(get, x))
-        return out
+        names = [raw[starts[where[i]] : ends[where[i]]].tobytes().decode() for i in new]
+        lists = [find(x) for x in names]
+        self._know(lists)
+        get, merge = self.pieces.__getitem__, self.merge
+        for i, pieces in zip(new, lists, strict=True):
+            self.chunks[keys[i]] = get(pieces[0]) if len(pieces) == 1 else merge(map(get, pieces))
+        values = [self.chunks[k] for k in keys]
+        of_text = np.searchsorted(starts, offsets)
+        if merge is sum:
+            total = np.concatenate([[0], np.cumsum(np.array(values, dtype=np.int64)[code])])
+            return np.diff(total[of_text]).tolist()
+        pool = np.frombuffer(b"".join(values), dtype=self.dtype)
+        sizes = np.array([len(v) for v in values], dtype=np.int64) // self.dtype.itemsize
+        at = np.cumsum(sizes) - sizes
+        size = sizes[code]
+        end = np.cumsum(size)
+        ids = pool[np.repeat(at[code] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+        cut = np.concatenate([[0], end])[of_text]
+        return [ids[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
 
     # -- huge texts ------------------------------------------------------------------------------
 

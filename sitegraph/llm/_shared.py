@@ -106,8 +106,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, index of the first word of each text and of the end).
+def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lowercased bytes of all texts, start and end of each word, index of the first word of each text and of the end).
 
     A word is a maximal run of ASCII letters, digits, underscores or non-ASCII characters of the
     lowercased text; a null text has no words.
@@ -122,7 +122,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = offsets - offsets[0]
     n = len(raw)
     if not n:
-        return np.zeros(0, _U), np.zeros(len(low) + 1, np.int64)
+        return raw, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(low) + 1, np.int64)
     word = _WORD[raw]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -133,6 +133,11 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     tails = offsets[1:][offsets[1:] > 0] - 1
     last[tails] = word[tails]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return raw, starts, ends, np.searchsorted(starts, offsets).astype(np.int64)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes; spans lie in order and don't overlap."""
     out = np.empty(len(starts), dtype=_U)
     k = 0
     while k < len(starts):  # pieces of whole words keep the temporary arrays small
@@ -145,7 +150,13 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         s, e = starts[k:j] - a, ends[k:j] - a
         out[k:j] = (total[e] - total[s]) * down[s] + (e - s).astype(_U) * _COEF[7]
         k = j
-    return mix64(out), np.searchsorted(starts, offsets).astype(np.int64)
+    return mix64(out)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, index of the first word of each text and of the end)."""
+    raw, starts, ends, bounds = word_spans(texts)
+    return span_hashes(raw, starts, ends), bounds
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -173,3 +184,10 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int = 5) -> tup
             h += _U(counts[i]) * _COEF[6]
         out[at[i]] = h
     return mix64(out), at
+
+
+def held_out(doc_id) -> object:
+    """Column: the row is not to be learnt from, as crc32 of its id's text leaves 2 when divided by 4; false for a null id."""
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

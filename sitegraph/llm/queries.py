@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup, tokenbin, tokencount
+from . import decontam, neardup, tokenbin, tokencount, toxicity
 from ._shared import table
 
 
@@ -15,6 +15,10 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_binary, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_binary, op3_toxicity, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_token_counts)}
 
 _WORDS = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\x{80}-\x{10FFFF}]+'), lambda x: x <> '')"
 _SHINGLES = """
