@@ -73,6 +73,10 @@ class Encoder:
         elif [x.get("type") for x in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"] and [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.kind = "word"
         self.dtype = np.dtype(dtype or ("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 0x10000 else "<u4"))
+        self.last = None
+        if self.kind == "word" and spec["model"].get("end_of_word_suffix"):
+            self.last = np.zeros(self.library.get_vocab_size(with_added_tokens=True), dtype=bool)
+            self.last[[i for w, i in self.library.get_vocab(with_added_tokens=False).items() if w.endswith(spec["model"]["end_of_word_suffix"])]] = True
         code = "HI"[self.dtype.itemsize == 4]
         self.value = len if counting else lambda ids: array(code, ids).tobytes()
         self.merge = sum if counting else b"".join
@@ -95,9 +99,25 @@ class Encoder:
         value = self.value
         for a in range(0, len(new), 4000):
             part = new[a : a + 4000]
+            if self.last is not None and self._learn_joined(part):
+                continue
             for w, e in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
                 self.pieces[w] = value(e.ids)
 
+    def _learn_joined(self, part: list[str]) -> bool:
+        """Encode pre-tokens as one text; true if each ended with an id that ends a word."""
+        ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(part) or ends[-1] != len(ids):
+            return False
+        starts = [0, *ends[:-1].tolist()]
+        if self.merge is sum:
+            self.pieces.update(zip(part, np.diff([0, *ends]).tolist(), strict=True))
+        else:
+            raw, w = ids.tobytes(), self.dtype.itemsize
+            self.pieces.update((x, raw[w * a : w * b]) for x, a, b in zip(part, starts, ends.tolist(), strict=True))
+        return True
+
     def _know(self, lists: list[list[str]]) -> None:
         wanted = set().union(*lists)
         new = wanted - self.pieces.keys()
@@ -162,7 +182,9 @@ class Encoder:
             self.chunks.clear()
             new = range(len(keys))
         find = (_WORD if self.kind == "word" else _BYTE).findall
-        names = [raw[starts[where[i]] : ends[where[i]]].tobytes().decode() for i in new]
+        place = where[np.fromiter(new, dtype=np.int64, count=len(new))]
+        data = raw.tobytes()
+        names = [data[a:b].decode() for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)]
         lists = [find(x) for x in names]
         self._know(lists)
         get, merge = self.pieces.__getitem__, self.merge
