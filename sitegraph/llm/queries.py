@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup, tokenbin, tokencount, toxicity
+from . import decontam, langid, neardup, tokenbin, tokencount, topk, toxicity
 from ._shared import table
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -19,6 +23,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -31,7 +39,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_binary, op3_toxicity, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_top_k, op2_token_binary, op3_toxicity, op6_language_id, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_token_counts)}
 
 _WORDS = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\x{80}-\x{10FFFF}]+'), lambda x: x <> '')"
 _SHINGLES = """
@@ -57,4 +65,12 @@ select t.doc_id, least(t.doc_id, coalesce(r.m, t.doc_id)) as class_id, coalesce(
 from documents t left join (select a, min(b) as m from reach group by a) r on r.a = t.doc_id
 left join (select a, count(*) as c from links group by a) l on l.a = t.doc_id"""
 
-ORACLES: dict[str, str] = {"op8_ngram_jaccard_join": _OP8, "op9_benchmark_decontamination": _OP9}
+_OP1 = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  s as (select q.vec_id as query_id, c.vec_id, coalesce(list_sum(list_transform(range(1, least(len(q.e), len(c.e)) + 1), lambda i: q.e[i] * c.e[i])), 0)::bigint as score
+    from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s
+qualify rank <= 5"""
+
+ORACLES: dict[str, str] = {"op1_exact_top_k": _OP1, "op8_ngram_jaccard_join": _OP8, "op9_benchmark_decontamination": _OP9}

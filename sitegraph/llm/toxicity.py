@@ -143,7 +143,6 @@ def _dictionaries(sample: DataFrame, words: DataFrame, fold: int | None) -> Dict
         ordinary = z.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
     except z.ZstdError:  # too little text to train on
         ordinary = b" ".join(pieces)[:DICTIONARY_BYTES]
-    globals()["_last"]=[(r["word"],int(r["t"]),int(r["o"])) for r in picked][::12]
     return Dictionaries(ordinary or b" " * 8, toxic)
 
 
