@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, neardup, tokenbin, tokencount, topk, toxicity
+from . import chat, decontam, langid, mixing, neardup, secrets, tokenbin, tokencount, topk, toxicity
 from ._shared import table
 
 
@@ -23,10 +23,22 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_turns(table(spark, sf_dir, "conversations"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -39,7 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_top_k, op2_token_binary, op3_toxicity, op6_language_id, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_top_k, op2_token_binary, op3_toxicity, op4_chat_formatting, op5_source_mixing, op6_language_id, op7_secret_scan, op8_ngram_jaccard_join, op9_benchmark_decontamination, op10_token_counts)}
 
 _WORDS = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\x{80}-\x{10FFFF}]+'), lambda x: x <> '')"
 _SHINGLES = """
