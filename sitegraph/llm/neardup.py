@@ -99,7 +99,7 @@ def _unit_links(sets: list[np.ndarray], sides: np.ndarray, threshold: float) ->
             x = np.zeros((len(sets), step), dtype=np.float32)
             x[rows[lo:hi], ids[lo:hi] - a] = 1
             shared += x @ x.T
-    linked = shared * (1 + threshold) + 1e-6 >= threshold * (n[:, None] + n[None, :])
+    linked = shared.astype(np.float64) * (1 + threshold) + 1e-6 >= threshold * (n[:, None] + n[None, :])
     linked &= np.triu(np.ones_like(linked), 1)
     if sides.any():
         linked &= sides[:, None] != sides[None, :]
