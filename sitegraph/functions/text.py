@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Marks of a company form and what they stand for.
 DESIGNATORS = (("(株)", "株式会社"), ("㈱", "株式会社"), ("（株）", "株式会社"), ("(有)", "有限会社"), ("㈲", "有限会社"), ("（有）", "有限会社"))
 FORMS = ("株式会社", "有限会社")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
@@ -98,9 +99,9 @@ def sanitize(c: Column | str) -> Column:
 
 def split_values(c: Column | str) -> Column:
     """Parts by the first separator there is: a slash between blanks, a semicolon, a vertical bar."""
-    s = F.trim(nz(c))
+    s = nz(c)
     parts = F.when(F.contains(s, F.lit(" / ")), F.split(s, " / ")).when(F.contains(s, F.lit(";")), F.split(s, ";")).when(F.contains(s, F.lit("|")), F.split(s, r"\|")).otherwise(F.array(s))
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def join_values(values: Column, limit: int | None = None) -> Column:
@@ -123,7 +124,7 @@ def brand_variants(c: Column | str) -> Column:
     s = F.trim(nz(c))
     inner = F.regexp_extract_all(s, F.lit(r"[(（]([^)）]+)[)）]"), F.lit(1))
     outer = F.trim(F.regexp_replace(s, r"[(（][^)）]*[)）]", ""))
-    return F.array_distinct(F.filter(F.transform(F.concat(F.array(s), F.split(s, "[/／]"), inner, F.array(outer)), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.concat(F.array(s), F.split(s, "[/／]"), inner, F.array(outer)), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def normalize_address(raw: Column | str) -> Column:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import canonical_key
 
 ACTIVE = ("01", "11", "12", "13", "21", "22", "31")
-PLACE = T.StructType.fromDDL("places array<struct<id:string,displayName:struct<text:string>,formattedAddress:string,location:struct<latitude:double,longitude:double>,websiteUri:string,nationalPhoneNumber:string,internationalPhoneNumber:string>>")
+PLACE = ("places array<struct<id:string,displayName:struct<text:string>,formattedAddress:string,location:struct<latitude:double,longitude:double>,websiteUri:string,nationalPhoneNumber:string,internationalPhoneNumber:string>>")
 ESTAT = "GET_STATS_DATA struct<STATISTICAL_DATA:struct<DATA_INF:struct<VALUE:array<struct<`@area`:string,`@cat01`:string,`$`:string>>>>>"
 
 
