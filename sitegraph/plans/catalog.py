@@ -18,13 +18,13 @@ ORACLES: dict[str, str] = {}
 TARGETS = ["Brand#11", "Brand#22", "Brand#33", "Brand#44"]
 
 
-def query(sql: str | None = None, plain: bool = False):
+def query(sql: str | None = None, plain: bool = False, recursive: bool = False):
     """Register a query under its name; sql goes on from the domain tables unless it is plain."""
 
     def put(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql if plain else DOMAIN_SQL + sql
+            ORACLES[f.__name__] = sql if plain else (DOMAIN_SQL.replace("with arrivals", "with recursive arrivals", 1) if recursive else DOMAIN_SQL) + sql
         return f
 
     return put
