@@ -178,7 +178,7 @@ class Encoder:
         distinct, where, code = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
         keys = distinct.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.chunks]
-        if len(self.chunks) + len(new) > MEMO_ENTRIES:
+        if len(self.chunks) + len(new) > MEMO_ENTRIES // 2:
             self.chunks.clear()
             new = range(len(keys))
         find = (_WORD if self.kind == "word" else _BYTE).findall

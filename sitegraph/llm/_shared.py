@@ -66,6 +66,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             end = max(at + 1, int(np.searchsorted(total, done + limit, side="right")))
             yield b.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()  # workers live on, next to others
 
 
 # -- words and shingles -------------------------------------------------------------------------
