@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from ._shared import materialise
 
 ROLES = ("system", "user", "assistant")
@@ -89,6 +90,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     Null texts are empty; null conv_ids are one conversation; repeated rows stay. Other columns are
     ignored; an empty table gives an empty table.
     """
+    ship(turns.sparkSession)
     rows = _features(turns)
     logs = _emissions(rows)
     order = ["conv_id", "chunk", "turn", "role", "h"]

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from ._shared import materialise
 
 QUERY_BLOCK, CANDIDATE_BLOCK, DIMENSIONS = 2048, 8192, 8
@@ -90,7 +91,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     candidates in vertical layout, adds up the product a block of dimensions at a time, bounds what
     is to come by the norms of the remaining dimensions, and compacts the surviving candidates.
     """
-    spark = vectors.sparkSession
+    ship(vectors.sparkSession)
     vec = F.col("embedding").cast("array<double>")
     ok = vec.isNotNull() & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.col("vec_id").isNotNull()
     rows = vectors.where(ok).select(F.col("vec_id").cast("long"), F.transform(vec, lambda x: F.floor(x * F.lit(scale)).cast("double")).alias("v"))
