@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -19,6 +20,7 @@ TOXIC_WORDS = 3000
 LEAST_EVIDENCE = 3.0
 LEAST_LIFT = 4.0
 THRESHOLD = 0.3
+MARK = b" \x01\x02"
 GAINS = (2, 3, 4, 5, 6)
 _FEATURES = ("windows", *(f"gain_{g}" for g in GAINS), "total", "most")
 
@@ -62,6 +64,25 @@ class Dictionaries:
         return out[0], out[1]
 
 
+def _marked(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all words, each after MARK; start and end of each with its mark): a match at the head of a word is longer than one inside."""
+    size = (ends - starts).astype(np.int32)
+    whole = size + len(MARK)
+    last = np.cumsum(whole, dtype=np.int64)
+    first = last - whole
+    out = np.empty(int(last[-1]) if len(last) else 0, dtype=np.uint8)
+    for k, c in enumerate(MARK):
+        out[first + k] = c
+    before = (np.cumsum(size, dtype=np.int64) - size).astype(np.int32)
+    step = np.arange(int(size.sum()), dtype=np.int32)
+    out[np.repeat(first.astype(np.int32) + len(MARK) - before, size) + step] = raw[np.repeat(starts.astype(np.int32) - before, size) + step]
+    return out, first, last
+
+
+def _mark(text: str) -> bytes:
+    return b"".join(MARK + w for w in re.findall(rb"[0-9A-Za-z_\x80-\xff]+", text.encode()))
+
+
 def _windows(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(offset and length of each window of WINDOW_WORDS words, number of windows of each text)."""
     counts = np.diff(bounds)
@@ -78,7 +99,8 @@ def _measure(d: Dictionaries):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            raw, starts, ends, bounds = word_spans(b.column("text"))
+            *words, bounds = word_spans(b.column("text"))
+            raw, starts, ends = _marked(*words)
             spans, n = _windows(starts, ends, bounds)
             text = np.repeat(np.arange(len(n)), n)
             gain = np.zeros(len(spans))
@@ -135,10 +157,10 @@ def _dictionaries(sample: DataFrame, words: DataFrame, fold: int | None) -> Dict
         if w not in begun and not any(w[:k] in kept for k in range(4, len(w))):
             kept.append(w)
             begun.update(w[:k] for k in range(1, len(w) + 1))
-    toxic = " ".join(reversed(kept)).encode() + b" "
+    toxic = b"".join(MARK + w.encode() for w in reversed(kept)) + MARK
     from_ordinary = sample.where(ours & (F.col("toxic") == 0)).orderBy("h").limit(3000)
     at = 1 + F.pmod(F.col("h"), F.greatest(F.length("text") - 600, F.lit(1)))
-    pieces = [r[0].encode() for r in from_ordinary.select(F.lower(F.col("text").substr(at.cast("int"), F.lit(600)))).collect() if r[0]]
+    pieces = [_mark(r[0]) for r in from_ordinary.select(F.lower(F.col("text").substr(at.cast("int"), F.lit(600)))).collect() if r[0]]
     try:
         ordinary = z.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
     except z.ZstdError:  # too little text to train on
@@ -195,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text).
 
-    Each window of WINDOW_WORDS words of the whole text is compressed with both dictionaries; the
+    Each window of WINDOW_WORDS words of the whole text, each word after a mark, is compressed with both dictionaries; the
     bytes that the toxic one saves are counted, and the calibrated curve makes them a score from 0
     to 1. predicted is 1 from THRESHOLD on. Null, empty and wordless texts have the score of a text
     without windows. Repeated rows and null ids stay (a null id is not held out and not learnt
