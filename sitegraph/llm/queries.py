@@ -85,4 +85,32 @@ with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::dou
 select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s
 qualify rank <= 5"""
 
-ORACLES: dict[str, str] = {"op1_exact_top_k": _OP1, "op8_ngram_jaccard_join": _OP8, "op9_benchmark_decontamination": _OP9}
+
+
+def _op7() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    kinds = (("assign", secrets.ASSIGN, 2, 6), ("access", secrets.ACCESS, 0, 20), ("hex", secrets.HEX, 0, 24), ("ident", secrets.IDENTITY, 2, 2), ("endpoint", secrets.ENDPOINT, 0, 8))
+    found = " union all ".join(
+        f"select rid, doc_id, '{k}' as kind, regexp_extract_all(text, {quoted(p)}, 0) as h, string_split_regex(text, {quoted(p)}) as g, {quoted(p)} as p, {n} as grp, {least} as least from t where regexp_matches(text, {quoted(p)})" for k, p, n, least in kinds
+    )
+    number = " ".join(f"when '{k}' then {i}" for i, k in enumerate(secrets.KINDS))
+    group = "length(case grp when 2 then case kind when 'assign' then regexp_extract(h[i], {a}, 2) else regexp_extract(h[i], {b}, 2) end else h[i] end)".format(a=quoted(secrets.ASSIGN), b=quoted(secrets.IDENTITY))
+    return f"""
+with t as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+f as ({found}),
+c as (select rid, doc_id, kind, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0))::bigint as s, length(h[i]) as n, {group} >= least as ok
+  from (select *, unnest(range(1, len(h) + 1)) as i from f)),
+e as (select rid, s, s + n as e, case when kind = 'assign' and not ok then 'weak' else kind end as kind from c where ok or kind = 'assign'),
+w as (select *, kind in ('assign', 'access', 'hex') as base,
+    bool_or(kind in ('assign', 'hex', 'weak')) over near as secret, bool_or(kind in ('access', 'ident')) over near as ident, bool_or(kind = 'endpoint') over near as endpoint,
+    coalesce(max(case when kind in ('assign', 'access', 'hex') then e end) over (partition by rid order by s range between unbounded preceding and current row) > s, false)
+      or coalesce(min(case when kind in ('assign', 'access', 'hex') then s end) over (partition by rid order by s range between current row and unbounded following) < e, false) as covered
+  from e window near as (partition by rid order by s range between {secrets.SCOPE} preceding and {secrets.SCOPE} following)),
+k as (select rid, s, e, kind, base, case kind {number} end as number from w where base or (not covered and case kind when 'weak' then ident or endpoint when 'ident' then secret else secret and ident end)),
+r as (select rid, count_if(kind = 'assign') as n_assign, count_if(kind = 'access') as n_access, count_if(kind = 'hex') as n_hex, string_agg(concat_ws(':', kind, s, e), ',' order by s, number, e) filter (where base) as b,
+    string_agg(concat_ws(':', kind, s, e), ',' order by s, number, e) as spans, count_if(not base) as n_linked from k group by rid)
+select t.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(b, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_linked, 0) as n_linked
+from t left join r using (rid)"""
+
+
+ORACLES: dict[str, str] = {"op7_secret_scan": _op7(), "op1_exact_top_k": _OP1, "op8_ngram_jaccard_join": _OP8, "op9_benchmark_decontamination": _OP9}
