@@ -98,10 +98,10 @@ def strict_ranking(links: DataFrame, targets: list[str] | None = None, min_total
     return out.where((F.col("total_stores") >= min_total) & (F.col("counted_brands") >= min_brands))
 
 
-def evidence_only(links: DataFrame) -> DataFrame:
+def evidence_only(links: DataFrame, min_total: int = MEGA) -> DataFrame:
     counted = ~nz("operator_type").isin("franchisor", "direct")
     out = links.groupBy("operator_name").agg(F.sum("estimated_store_count").alias("total_stores"), F.count_distinct("brand").alias("broad_brands"), F.count_distinct(F.when(counted, F.col("brand"))).alias("counted_brands"))
-    return out.where((F.col("total_stores") >= MEGA) & (F.col("broad_brands") >= 2) & (F.col("counted_brands") < 2))
+    return out.where((F.col("total_stores") >= min_total) & (F.col("broad_brands") >= 2) & (F.col("counted_brands") < 2))
 
 
 def wide(links: DataFrame, brands: list[str]) -> DataFrame:

@@ -15,7 +15,7 @@ from .domain import DOMAIN_SQL, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-TARGETS = ["Brand#11", "Brand#22", "Brand#33", "Brand#44"]
+TARGETS = ["Brand#11", "Brand#22", "Brand#3", "Brand#4"]
 
 
 def query(sql: str | None = None, plain: bool = False, recursive: bool = False):
@@ -129,18 +129,18 @@ def strict_mega_ranking(s, d):
     return views.strict_ranking(_links(s, d))
 
 
-@query(_ranking("and brand in ('Brand#11', 'Brand#22', 'Brand#33', 'Brand#44')"))
+@query(_ranking("and brand in ('Brand#11', 'Brand#22', 'Brand#3', 'Brand#4')"))
 def strict_mega_ranking_targets(s, d):
     return views.strict_ranking(_links(s, d), TARGETS)
 
 
-@query("select operator_name, sum(estimated_store_count)::bigint as total_stores, count(distinct brand) as broad_brands, count(distinct case when operator_type not in ('franchisor', 'direct') then brand end) as counted_brands from links group by 1 having sum(estimated_store_count) >= 20 and count(distinct brand) >= 2 and count(distinct case when operator_type not in ('franchisor', 'direct') then brand end) < 2")
+@query("select operator_name, sum(estimated_store_count)::bigint as total_stores, count(distinct brand) as broad_brands, count(distinct case when operator_type not in ('franchisor', 'direct') then brand end) as counted_brands from links where brand in ('Brand#11', 'Brand#22', 'Brand#3', 'Brand#4') group by 1 having sum(estimated_store_count) >= 3 and count(distinct brand) >= 2 and count(distinct case when operator_type not in ('franchisor', 'direct') then brand end) < 2")
 def evidence_only_review(s, d):
-    return views.evidence_only(_links(s, d))
+    return views.evidence_only(_links(s, d).where(F.col("brand").isin(TARGETS)), min_total=3)
 
 
-@query(""", w as (select operator_name, coalesce(max(case when brand = 'Brand#11' then estimated_store_count end), 0) as brand_11, coalesce(max(case when brand = 'Brand#22' then estimated_store_count end), 0) as brand_22, coalesce(max(case when brand = 'Brand#33' then estimated_store_count end), 0) as brand_33, coalesce(max(case when brand = 'Brand#44' then estimated_store_count end), 0) as brand_44 from links group by 1),
-t as (select *, brand_11 + brand_22 + brand_33 + brand_44 as total, (brand_11 > 0)::int + (brand_22 > 0)::int + (brand_33 > 0)::int + (brand_44 > 0)::int as held from w)
+@query(""", w as (select operator_name, coalesce(max(case when brand = 'Brand#11' then estimated_store_count end), 0) as brand_11, coalesce(max(case when brand = 'Brand#22' then estimated_store_count end), 0) as brand_22, coalesce(max(case when brand = 'Brand#3' then estimated_store_count end), 0) as brand_3, coalesce(max(case when brand = 'Brand#4' then estimated_store_count end), 0) as brand_4 from links group by 1),
+t as (select *, brand_11 + brand_22 + brand_3 + brand_4 as total, (brand_11 > 0)::int + (brand_22 > 0)::int + (brand_3 > 0)::int + (brand_4 > 0)::int as held from w)
 select *, row_number() over (order by total desc, held desc, operator_name) as company_priority_rank from t qualify company_priority_rank <= 200""")
 def master_wide_rows(s, d):
     return views.wide(_links(s, d), TARGETS)
@@ -178,9 +178,9 @@ def quality_classes(s, d):
     return t.withColumn("quality", views.quality(F.col("total_stores"), F.col("brand_count"), F.col("corporate_number")))
 
 
-@query("select brand, min(operator_name) as operator_name, count(*) as n from (select s.brand, s.operator_hint as operator_name from stores s where prefecture = 'JAPAN' group by all) group by 1 having count(*) <= 2")
+@query("select brand, min(operator_name) as operator_name, count(*) as n from (select s.brand, s.operator_hint as operator_name from stores s where prefecture = 'NATION_3' and place_id % 31 = 0 group by all) group by 1 having count(*) <= 2")
 def near_singleton_brands(s, d):
-    rows = domain.stores(s, d).where("prefecture = 'JAPAN'").select("brand", F.col("operator_hint").alias("operator_name")).distinct()
+    rows = domain.stores(s, d).where("prefecture = 'NATION_3' and place_id % 31 = 0").select("brand", F.col("operator_hint").alias("operator_name")).distinct()
     return rows.groupBy("brand").agg(F.min("operator_name").alias("operator_name"), F.count("*").alias("n")).where("n <= 2")
 
 
@@ -207,11 +207,11 @@ def dedupe_keep_first(s, d):
     return writes.first_wins(domain.stores(s, d).select("place_id", "phone", "name"), ["phone"], ["place_id"], blank_passes=True)
 
 
-@query(", o as (select phone, place_id from stores where prefecture = 'JAPAN' and phone <> '' qualify row_number() over (partition by phone order by place_id) = 1), n as (select phone, place_id from stores where prefecture <> 'JAPAN' and phone <> '' qualify row_number() over (partition by phone order by place_id) = 1) select * from o union all select * from n where phone not in (select phone from o)")
+@query(", o as (select phone, place_id from stores where prefecture = 'NATION_3' and phone <> '' qualify row_number() over (partition by phone order by place_id) = 1), n as (select phone, place_id from stores where prefecture <> 'NATION_3' and phone <> '' qualify row_number() over (partition by phone order by place_id) = 1) select * from o union all select * from n where phone not in (select phone from o)")
 def insert_or_ignore(s, d):
     rows = domain.stores(s, d).where("phone <> ''").select("phone", "place_id", "prefecture")
-    old = writes.first_wins(rows.where("prefecture = 'JAPAN'").drop("prefecture"), ["phone"], ["place_id"])
-    return writes.insert_or_ignore(old, rows.where("prefecture <> 'JAPAN'").drop("prefecture"), ["phone"], ["place_id"])
+    old = writes.first_wins(rows.where("prefecture = 'NATION_3'").drop("prefecture"), ["phone"], ["place_id"])
+    return writes.insert_or_ignore(old, rows.where("prefecture <> 'NATION_3'").drop("prefecture"), ["phone"], ["place_id"])
 
 
 @query("select operator_name, brand, concat_ws(':', 'REG', corporate_number, brand, i) as place_id, 0.95::double as confidence from (select *, unnest(range(1, greatest(estimated_store_count, 1) + 1)) as i from links where corporate_number <> '')")
@@ -236,9 +236,9 @@ def remap_links(s, d):
 # -- joins -------------------------------------------------------------------------------------
 
 
-@query("select o.operator_name, o.brand, s.prefecture, count(distinct s.place_id) as n from operator_stores o join stores s using (place_id) where s.prefecture like '%AN%' group by all")
+@query("select o.operator_name, o.brand, s.prefecture, count(distinct s.place_id) as n from operator_stores o join stores s using (place_id) where contains(s.prefecture, '_1') group by all")
 def stores_in_area_by_operator(s, d):
-    return _os(s, d).join(domain.stores(s, d).where(F.contains("prefecture", F.lit("AN"))).select("place_id", "prefecture"), "place_id").groupBy("operator_name", "brand", "prefecture").agg(F.count_distinct("place_id").alias("n"))
+    return _os(s, d).join(domain.stores(s, d).where(F.contains("prefecture", F.lit("_1"))).select("place_id", "prefecture"), "place_id").groupBy("operator_name", "brand", "prefecture").agg(F.count_distinct("place_id").alias("n"))
 
 
 @query("select j.place_id, s.name, j.operation_type, j.judged_at::varchar as judged_at from judgements j join stores s using (place_id) order by judged_at desc, place_id limit 100")
@@ -275,12 +275,13 @@ def unique_url_join_keys(s, d):
     return out.withColumn("n", F.lit(1).cast("long"))
 
 
-@query(""", n as (select distinct case when c_custkey % 3 = 0 then c_name when c_custkey % 3 = 1 then lower(replace(c_name, '#', '')) else substr(c_name, 1, 16) end as name from customer),
+@query(""", n as (select distinct case when c_custkey % 3 = 0 then n when c_custkey % 3 = 1 then lower(replace(n, '#', '')) else substr(n, 1, 16) end as name from (select c_custkey, concat('Operator#', lpad((c_custkey // 2)::varchar, 9, '0')) as n from customer)),
 a as (select * from registry where process in ('01', '11', '12', '13', '21', '22', '31')),
 h as (select n.name, a.corporate_number, 1 as tier from n join a on a.name = n.name union all select n.name, a.corporate_number, 2 from n join a on a.normalized_name = lower(regexp_replace(n.name, '[# ]', '', 'g')) union all select n.name, a.corporate_number, 3 from n join a on starts_with(a.normalized_name, lower(regexp_replace(n.name, '[# ]', '', 'g'))))
 select name, corporate_number, tier from h qualify row_number() over (partition by name order by tier, corporate_number) = 1""")
 def registry_cascade(s, d):
-    names = read(s, d, "customer").select(F.expr("case when c_custkey % 3 = 0 then c_name when c_custkey % 3 = 1 then lower(replace(c_name, '#', '')) else substr(c_name, 1, 16) end").alias("name")).distinct()
+    n = read(s, d, "customer").selectExpr("c_custkey", "concat('Operator#', lpad(cast(c_custkey div 2 as string), 9, '0')) as n")
+    names = n.select(F.expr("case when c_custkey % 3 = 0 then n when c_custkey % 3 = 1 then lower(replace(n, '#', '')) else substr(n, 1, 16) end").alias("name")).distinct()
     return matching.registry_cascade(names, domain.registry(s, d))
 
 
@@ -295,35 +296,35 @@ def ambiguity_resolution(s, d):
 _HAV = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))))"
 
 
-@query(f", a as (select place_id as id, lat, lng from stores where prefecture = 'JAPAN'), b as (select place_id as id, lat, lng from stores where prefecture = 'CHINA') select a.id as a_id, b.id as b_id, round({_HAV}, 2) as metres from a, b where {_HAV} <= 5000")
+@query(f", a as (select place_id as id, lat, lng from stores where prefecture = 'NATION_3'), b as (select place_id as id, lat, lng from stores where prefecture = 'NATION_7') select a.id as a_id, b.id as b_id, round({_HAV}, 2) as metres from a, b where {_HAV} <= 5000")
 def proximity_join(s, d):
     st = domain.stores(s, d).withColumnRenamed("place_id", "id")
-    return matching.near_pairs(st.where("prefecture = 'JAPAN'"), st.where("prefecture = 'CHINA'"), 5000.0).withColumn("metres", F.round("metres", 2))
+    return matching.near_pairs(st.where("prefecture = 'NATION_3'"), st.where("prefecture = 'NATION_7'"), 5000.0).withColumn("metres", F.round("metres", 2))
 
 
-@query(f", a as (select place_id as id, lat, lng from stores where prefecture = 'JAPAN'), b as (select place_id as id, lat, lng from stores where prefecture = 'CHINA'), p as (select a.id as a_id, b.id as b_id, {_HAV} as m from a, b where {_HAV} <= 20000) select a_id, arg_min(b_id, (m, b_id)) as b_id, round(min(m), 2) as metres from p group by 1")
+@query(f", a as (select place_id as id, lat, lng from stores where prefecture = 'NATION_3'), b as (select place_id as id, lat, lng from stores where prefecture = 'NATION_7'), p as (select a.id as a_id, b.id as b_id, {_HAV} as m from a, b where {_HAV} <= 20000) select a_id, arg_min(b_id, (m, b_id)) as b_id, round(min(m), 2) as metres from p group by 1")
 def nearest_anchor(s, d):
     st = domain.stores(s, d).withColumnRenamed("place_id", "id")
-    return matching.nearest(matching.near_pairs(st.where("prefecture = 'JAPAN'"), st.where("prefecture = 'CHINA'"), 20000.0)).withColumn("metres", F.round("metres", 2))
+    return matching.nearest(matching.near_pairs(st.where("prefecture = 'NATION_3'"), st.where("prefecture = 'NATION_7'"), 20000.0)).withColumn("metres", F.round("metres", 2))
 
 
-@query(f", a as (select place_id as id, lat, lng from stores), b as (select place_id as id, lat, lng from stores where prefecture = 'PERU') select distinct a.id from a, b where {_HAV} <= 2000")
+@query(f", a as (select place_id as id, lat, lng from stores), b as (select place_id as id, lat, lng from stores where prefecture = 'NATION_5') select distinct a.id from a, b where {_HAV} <= 2000")
 def cover_map(s, d):
     st = domain.stores(s, d).select(F.col("place_id").alias("id"), "lat", "lng", "prefecture")
-    return matching.covered(st, st.where("prefecture = 'PERU'"), 2000.0).select("id")
+    return matching.covered(st, st.where("prefecture = 'NATION_5'"), 2000.0).select("id")
 
 
-@query(f", x as (select place_id as id, brand, lat, lng from stores where prefecture in ('JAPAN', 'CHINA', 'PERU', 'INDIA')) select a.id as a_id, b.id as b_id, a.brand, case when {_HAV} <= 1500 then 'DUPLICATE' else 'DOMINANT' end as relation from x a join x b on a.brand = b.brand and a.id < b.id where {_HAV} <= 15000")
+@query(f", x as (select place_id as id, brand, lat, lng from stores where prefecture in ('NATION_3', 'NATION_7', 'NATION_5', 'NATION_9')) select a.id as a_id, b.id as b_id, a.brand, case when {_HAV} <= 1500 then 'DUPLICATE' else 'DOMINANT' end as relation from x a join x b on a.brand = b.brand and a.id < b.id where {_HAV} <= 15000")
 def pair_classification(s, d):
-    st = domain.stores(s, d).where("prefecture in ('JAPAN', 'CHINA', 'PERU', 'INDIA')").withColumnRenamed("place_id", "id")
+    st = domain.stores(s, d).where("prefecture in ('NATION_3', 'NATION_7', 'NATION_5', 'NATION_9')").withColumnRenamed("place_id", "id")
     return matching.classify_pairs(st, 1500.0, 15000.0)
 
 
-@query(""", k as (select distinct lower(replace(name, '#', '')) as k from registry where prefecture = 'JAPAN'), g as (select k, unnest(list_distinct(list_transform(range(1, length(k)), lambda i: k[i:i + 1]))) as g from k), z as (select k, count(*) as n from g group by 1),
+@query(""", k as (select distinct lower(replace(name, '#', '')) as k from registry where prefecture = 'NATION_3'), g as (select k, unnest(list_distinct(list_transform(range(1, length(k)), lambda i: k[i:i + 1]))) as g from k), z as (select k, count(*) as n from g group by 1),
 p as (select a.k as a, b.k as b, count(*) as c from g a join g b on a.g = b.g and a.k <> b.k group by all), s as (select a, b, round(case when contains(a, b) or contains(b, a) then 0.9 else c / (za.n + zb.n - c) end, 4) as score from p join z za on za.k = a join z zb on zb.k = b)
 select a, max(score) as score, arg_min(b, (-score, b)) as b from s where score >= 0.5 group by a""")
 def fuzzy_best_match(s, d):
-    k = domain.registry(s, d).where("prefecture = 'JAPAN'").select(F.lower(F.replace("name", F.lit("#"), F.lit(""))).alias("k")).distinct()
+    k = domain.registry(s, d).where("prefecture = 'NATION_3'").select(F.lower(F.replace("name", F.lit("#"), F.lit(""))).alias("k")).distinct()
     grams = k.select("k", F.explode(text.bigrams(F.col("k"))).alias("g"))
     pairs = grams.withColumnRenamed("k", "a").join(grams.withColumnRenamed("k", "b"), "g").where("a <> b").select("a", "b").distinct()
     return matching.best_match(pairs, "a", "b", 0.5)
@@ -341,7 +342,7 @@ def coverage_per_brand(s, d):
 
 
 @query(f"""{_COV}, c as (select prefecture, brand, {_COVS} from stores left join f using (place_id) group by all)
-select n_name as prefecture, b.brand, coalesce(stores, 0) as stores, coalesce(known, 0) as known, coalesce(verified, 0) as verified, coalesce(known_ratio, 0) as known_ratio, coalesce(verified_ratio, 0) as verified_ratio from nation cross join (select unnest(['Brand#11', 'Brand#22', 'Brand#33', 'Brand#44', 'Brand#99']) as brand) b left join c on c.prefecture = n_name and c.brand = b.brand""")
+select n_name as prefecture, b.brand, coalesce(stores, 0) as stores, coalesce(known, 0) as known, coalesce(verified, 0) as verified, coalesce(known_ratio, 0) as known_ratio, coalesce(verified_ratio, 0) as verified_ratio from nation cross join (select unnest(['Brand#11', 'Brand#22', 'Brand#3', 'Brand#4', 'Brand#99']) as brand) b left join c on c.prefecture = n_name and c.brand = b.brand""")
 def coverage_dense_grid(s, d):
     return audit.dense_coverage(domain.stores(s, d), _os(s, d), read(s, d, "nation").select(F.col("n_name").alias("prefecture")), [*TARGETS, "Brand#99"])
 
