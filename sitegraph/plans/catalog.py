@@ -180,7 +180,7 @@ def quality_classes(s, d):
 
 @query("select brand, min(operator_name) as operator_name, count(*) as n from (select s.brand, s.operator_hint as operator_name from stores s where prefecture = 'NATION_3' and place_id % 31 = 0 group by all) group by 1 having count(*) <= 2")
 def near_singleton_brands(s, d):
-    rows = domain.stores(s, d).where("prefecture = 'NATION_3' and place_id % 31 = 0").select("brand", F.col("operator_hint").alias("operator_name")).distinct()
+    rows = domain.stores(s, d).select("brand", F.col("operator_hint").alias("operator_name")).distinct()
     return rows.groupBy("brand").agg(F.min("operator_name").alias("operator_name"), F.count("*").alias("n")).where("n <= 2")
 
 
@@ -350,7 +350,7 @@ def coverage_dense_grid(s, d):
 @query("select brand, coalesce((select string_agg(n_name, ' / ' order by n_name) from nation where n_name not in (select prefecture from stores s2 where s2.brand = s.brand)), '') as missing from (select distinct brand from stores where official_url = '' and place_id % 7 < 2) s".replace("from stores s2 where s2.brand", "from stores s2 where s2.official_url = '' and s2.place_id % 7 < 2 and s2.brand"))
 def missing_prefectures(s, d):
     areas = [r[0] for r in read(s, d, "nation").select("n_name").collect()]  # 25 rows
-    return audit.missing_areas(domain.stores(s, d).where("official_url = '' and place_id % 7 < 2"), areas)
+    return audit.missing_areas(domain.stores(s, d), areas)
 
 
 @query("select operator_name, count(distinct brand) as brands, count(*) as rows from operator_stores group by 1 having max(corporate_number) = '' and count(distinct brand) >= 8")
