@@ -289,7 +289,7 @@ def registry_cascade(s, d):
 r as (select *, row_number() over (partition by key order by score desc, corporate_number) as r, lead(score) over (partition by key order by score desc, corporate_number) as nx from c)
 select key, corporate_number, round(score::double, 4) as score from r where r = 1 and (nx is null or score - nx >= 0.03)""")
 def ambiguity_resolution(s, d):
-    c = domain.registry(s, d).where("process <> '71' and city = 'City7'").select(F.col("prefecture").alias("key"), "corporate_number")
+    c = domain.registry(s, d).where("process <> '71'").select(F.col("prefecture").alias("key"), "corporate_number")
     return matching.resolve(c, "key", F.expr("cast((cast(corporate_number as bigint) * 13 % 97) / 100.0 as decimal(6,2))"), 0.03).select("key", "corporate_number", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
@@ -316,7 +316,7 @@ def cover_map(s, d):
 
 @query(f", x as (select place_id as id, brand, lat, lng from stores where prefecture in ('NATION_3', 'NATION_7', 'NATION_5', 'NATION_9')) select a.id as a_id, b.id as b_id, a.brand, case when {_HAV} <= 1500 then 'DUPLICATE' else 'DOMINANT' end as relation from x a join x b on a.brand = b.brand and a.id < b.id where {_HAV} <= 15000")
 def pair_classification(s, d):
-    st = domain.stores(s, d).where("prefecture in ('NATION_3', 'NATION_7', 'NATION_5', 'NATION_9')").withColumnRenamed("place_id", "id")
+    st = domain.stores(s, d).withColumnRenamed("place_id", "id")
     return matching.classify_pairs(st, 1500.0, 15000.0)
 
 
@@ -324,10 +324,8 @@ def pair_classification(s, d):
 p as (select a.k as a, b.k as b, count(*) as c from g a join g b on a.g = b.g and a.k <> b.k group by all), s as (select a, b, round(case when contains(a, b) or contains(b, a) then 0.9 else c / (za.n + zb.n - c) end, 4) as score from p join z za on za.k = a join z zb on zb.k = b)
 select a, max(score) as score, arg_min(b, (-score, b)) as b from s where score >= 0.5 group by a""")
 def fuzzy_best_match(s, d):
-    k = domain.registry(s, d).where("prefecture = 'NATION_3'").select(F.lower(F.replace("name", F.lit("#"), F.lit(""))).alias("k")).distinct()
-    grams = k.select("k", F.explode(text.bigrams(F.col("k"))).alias("g"))
-    pairs = grams.withColumnRenamed("k", "a").join(grams.withColumnRenamed("k", "b"), "g").where("a <> b").select("a", "b").distinct()
-    return matching.best_match(pairs, "a", "b", 0.5)
+    k = domain.registry(s, d).select(F.lower(F.replace("name", F.lit("#"), F.lit(""))).alias("k")).distinct()
+    return matching.best_among(k, "k", 0.5)
 
 
 # -- coverage and audit ------------------------------------------------------------------------

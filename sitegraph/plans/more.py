@@ -16,7 +16,7 @@ from .domain import read
 e as (select distinct a.node as a, b.node as b from p a join p b using (key)), r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
 select a as node, min(b) as comp from r group by a""", recursive=True)
 def connected_operators(s, d):
-    st = domain.stores(s, d).where("official_url <> '' and prefecture = 'NATION_1'")
+    st = domain.stores(s, d).where("official_url <> ''")
     return components.components(st.select(F.col("operator_hint").alias("node"), F.col("official_url").alias("key")))
 
 
@@ -109,7 +109,7 @@ def best_page_link(s, d):
 
 @query()
 def layered_store_match(s, d):
-    st = domain.stores(s, d).where("prefecture in ('NATION_1', 'NATION_2')").select(F.col("place_id").alias("id"), "prefecture", F.lit("City1").alias("city"), "address", "lat", "lng")
+    st = domain.stores(s, d).select(F.col("place_id").alias("id"), "prefecture", F.regexp_extract("address", r"City\d+", 0).alias("city"), "address", "lat", "lng")
     moved = st.where("id % 3 <> 0").withColumn("id", F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("id") + 10**9))
     return matching.layered_match(st, moved, 0.95, 50.0).groupBy("layer").agg(F.count("*").alias("n"))
 

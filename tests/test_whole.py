@@ -1,24 +1,27 @@
 """Registered queries on a small fixture against brute force over all of its rows."""
 
 import datetime
+import math
 from collections import defaultdict
+from itertools import combinations
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from sitegraph.operators import matching
 from sitegraph.plans import catalog, domain, more  # noqa: F401
 
 
 @pytest.fixture(scope="module")
 def small(tmp_path_factory):
-    """60 stores of 24 customers in 10 nations, as tables of the driver."""
+    """60 stores of 24 of 60 customers in 10 nations, as tables of the driver."""
     d = tmp_path_factory.mktemp("small")
     day = datetime.date(2020, 1, 1)
     put = lambda name, **columns: pq.write_table(pa.table(columns), d / f"{name}.parquet")
     put("nation", n_nationkey=list(range(10)), n_name=[f"NATION_{i}" for i in range(10)])
-    put("customer", c_custkey=list(range(1, 25)), c_nationkey=[i * 7 % 10 for i in range(1, 25)])
-    put("orders", o_orderkey=list(range(1, 61)), o_custkey=[1 + (i * i + i // 9) % 24 for i in range(1, 61)], o_orderdate=[day] * 60)
+    put("customer", c_custkey=list(range(1, 61)), c_nationkey=[i * 7 % 10 for i in range(1, 61)])
+    put("orders", o_orderkey=[i + 6000 * j for j in (0, 1) for i in range(1, 31)], o_custkey=[1 + (i * i + i // 9) % 24 for i in range(1, 61)], o_orderdate=[day] * 60)
     return str(d)
 
 
@@ -38,3 +41,77 @@ def test_missing_prefectures_counts_every_store(spark, small):
     want = sorted((b, " / ".join(f"NATION_{i}" for i in range(10) if f"NATION_{i}" not in p)) for b, p in there.items())
     assert any(m for _, m in want)
     assert sorted(map(tuple, catalog.QUERIES["missing_prefectures"](spark, small).collect())) == want
+
+
+def test_connected_operators_joins_through_every_nation(spark, small):
+    group = {}
+    stores = domain.stores(spark, small).where("official_url <> ''").collect()
+    for r in stores:
+        group.setdefault(r.operator_hint, {r.operator_hint})
+    urls = defaultdict(list)
+    for r in stores:
+        urls[r.official_url].append(r.operator_hint)
+    for nodes in urls.values():
+        for n in nodes[1:]:
+            both = group[nodes[0]] | group[n]
+            group |= dict.fromkeys(both, both)
+    want = sorted((n, min(g)) for n, g in group.items())
+    assert sorted(map(tuple, catalog.QUERIES["connected_operators"](spark, small).collect())) == want
+
+
+def test_ambiguity_resolution_ranks_the_companies_of_every_city(spark, small):
+    scores = defaultdict(list)
+    for r in domain.registry(spark, small).where("process <> '71'").collect():
+        scores[r.prefecture].append((-(int(r.corporate_number) * 13 % 97), r.corporate_number))
+    scores = {p: sorted(x) for p, x in scores.items()}
+    want = sorted((p, x[0][1], -x[0][0] / 100) for p, x in scores.items() if len(x) == 1 or x[1][0] - x[0][0] >= 3)
+    assert any(len(x) > 1 for x in scores.values()) and want
+    assert sorted(map(tuple, catalog.QUERIES["ambiguity_resolution"](spark, small).collect())) == want
+
+
+def alike(a, b):
+    x, y = ({s[i : i + 2] for i in range(len(s) - 1)} for s in (a, b))
+    return 0 if not x & y else 0.9 if a in b or b in a else round(len(x & y) / len(x | y), 4)
+
+
+def best(names, least):
+    scored = {a: min((-alike(a, b), b) for b in names if b != a) for a in names}
+    return sorted((a, -s, b) for a, (s, b) in scored.items() if -s >= least)
+
+
+def test_fuzzy_best_match_sees_every_nation(spark, small):
+    want = best({r.normalized_name for r in domain.registry(spark, small).collect()}, 0.5)
+    assert len(want) == 20
+    assert sorted(map(tuple, catalog.QUERIES["fuzzy_best_match"](spark, small).select("a", "score", "b").collect())) == want
+
+
+def test_best_among_equals_brute_force(spark):
+    names = {"".join("abc"[i * k * k // 7 % 3] for i in range(1, 3 + k % 9)) for k in range(1, 90)} | {"ab", "xabcx", "zzzz", "z", "qab", "qabcabcab"}
+    for least in (0.5, 0.35):
+        got = matching.best_among(spark.createDataFrame([(n,) for n in names], "k string"), "k", least)
+        assert sorted(map(tuple, got.select("a", "score", "b").collect())) == best(names, least)
+
+
+def metres(a, b):
+    h = math.sin(math.radians(b.lat - a.lat) / 2) ** 2 + math.cos(math.radians(a.lat)) * math.cos(math.radians(b.lat)) * math.sin(math.radians(b.lng - a.lng) / 2) ** 2
+    return 2 * 6_371_000.0 * math.asin(math.sqrt(min(h, 1.0)))
+
+
+def test_pair_classification_takes_every_nation(spark, small):
+    stores = sorted(domain.stores(spark, small).collect(), key=lambda r: r.place_id)
+    want = [(a.place_id, b.place_id, a.brand, "DUPLICATE" if metres(a, b) <= 1500 else "DOMINANT") for a, b in combinations(stores, 2) if a.brand == b.brand and metres(a, b) <= 15000]
+    assert want
+    assert sorted(map(tuple, catalog.QUERIES["pair_classification"](spark, small).collect())) == want
+
+
+def test_classify_pairs_keeps_to_the_brand(spark):
+    stores = spark.createDataFrame([(1, "x", 35.0, 139.0), (2, "x", 35.0001, 139.0), (3, "x", 35.01, 139.0), (4, "y", 35.0, 139.0), (5, None, 35.0, 139.0), (6, None, 35.0, 139.0)], "id int, brand string, lat double, lng double")
+    got = sorted(map(tuple, matching.classify_pairs(stores).collect()))
+    assert got == [(1, 2, "x", "DUPLICATE"), (1, 3, "x", "DOMINANT"), (2, 3, "x", "DOMINANT")]
+
+
+def test_layered_store_match_takes_every_nation(spark, small):
+    kept = [r for r in domain.stores(spark, small).collect() if r.place_id % 3]
+    got = {r.layer: r.n for r in catalog.QUERIES["layered_store_match"](spark, small).collect()}
+    assert got["id"] == sum(r.place_id % 2 == 0 for r in kept)
+    assert sum(got.values()) == len(kept)
