@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import random
 from collections import defaultdict
 from itertools import combinations
 
@@ -115,3 +116,38 @@ def test_layered_store_match_takes_every_nation(spark, small):
     got = {r.layer: r.n for r in catalog.QUERIES["layered_store_match"](spark, small).collect()}
     assert got["id"] == sum(r.place_id % 2 == 0 for r in kept)
     assert sum(got.values()) == len(kept)
+
+
+def greedy(rows):
+    a, b, out = set(), set(), []
+    for m, x, y in sorted((m, x, y) for x, y, m in rows):
+        if x not in a and y not in b:
+            a.add(x), b.add(y), out.append((x, y, m))
+    return sorted(out)
+
+
+PAIRS = "a_id long, b_id long, metres double"
+
+
+def test_greedy_matches_sixty_equal_stores(spark):
+    rows = [(x, 1000 + y, 0.0) for x in range(60) for y in range(60)]
+    assert sorted(map(tuple, matching.greedy_one_to_one(spark.createDataFrame(rows, PAIRS)).collect())) == greedy(rows)
+
+
+def test_greedy_goes_on_to_the_end_of_a_chain(spark):
+    rows = [r for i in range(54) for r in ((i, 1000 + i, 200.0 - 2 * i), (i, 1001 + i, 199.0 - 2 * i))]
+    assert sorted(map(tuple, matching.greedy_one_to_one(spark.createDataFrame(rows, PAIRS)).collect())) == greedy(rows)
+
+
+def test_greedy_equals_pair_after_pair(spark):
+    for seed in range(5):
+        r = random.Random(seed)
+        rows = [(x, 1000 + y, float(r.choice((x // 4 == y // 4, 2, 3)))) for x in range(16) for y in range(14) if r.random() < (0.4 if seed % 2 else 0.9) or x // 4 == y // 4]
+        assert sorted(map(tuple, matching.greedy_one_to_one(spark.createDataFrame(rows, PAIRS)).collect())) == greedy(rows)
+
+
+def test_layered_match_lets_unknown_cities_match_any(spark):
+    columns = "id int, prefecture string, city string, address string, lat double, lng double"
+    top = spark.createDataFrame([(1, "P", "C", "P C Town1-1", 1.0, 1.0), (2, "P", "", "P C Town2-2", 2.0, 2.0), (3, "P", "D", "P C Town3-3", 3.0, 3.0), (4, None, None, "P C Town4-4", 4.0, 4.0), (5, "P", "C", "P C Town5-5", 5.0, 5.0)], columns)
+    bottom = spark.createDataFrame([(11, "P", "", "P C Town1-1", 40.0, 1.0), (12, "P", "C", "P C Town2-2", 40.0, 2.0), (13, "P", "C", "P C Town3-3", 40.0, 3.0), (14, "Q", "E", "P C Town4-4", 40.0, 4.0), (15, "Q", "", "P C Town5-5", 40.0, 5.0)], columns)
+    assert sorted(map(tuple, matching.layered_match(top, bottom, 0.95).collect())) == [(1, 11, "address"), (2, 12, "address"), (4, 14, "address")]
