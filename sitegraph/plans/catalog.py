@@ -178,9 +178,10 @@ def quality_classes(s, d):
     return t.withColumn("quality", views.quality(F.col("total_stores"), F.col("brand_count"), F.col("corporate_number")))
 
 
-@query("select brand, min(operator_name) as operator_name, count(*) as n from (select s.brand, s.operator_hint as operator_name from stores s where prefecture = 'NATION_3' and place_id % 31 = 0 group by all) group by 1 having count(*) <= 2")
+@query("select name as brand, min(operator_hint) as operator_name, count(distinct operator_hint) as n from stores group by 1 having count(distinct operator_hint) <= 2")
 def near_singleton_brands(s, d):
-    rows = domain.stores(s, d).select("brand", F.col("operator_hint").alias("operator_name")).distinct()
+    """Brands of two operators at most; a store's name stands for a brand, as there are few stores of a name."""
+    rows = domain.stores(s, d).select(F.col("name").alias("brand"), F.col("operator_hint").alias("operator_name")).distinct()
     return rows.groupBy("brand").agg(F.min("operator_name").alias("operator_name"), F.count("*").alias("n")).where("n <= 2")
 
 
@@ -285,9 +286,9 @@ def registry_cascade(s, d):
     return matching.registry_cascade(names, domain.registry(s, d))
 
 
-@query(""", c as (select prefecture as key, corporate_number, (corporate_number::bigint * 13 % 97) / 100.0 as score from registry where process <> '71' and city = 'City7'),
+@query(""", c as (select prefecture as key, corporate_number, corporate_number::bigint * 13 % 97 as score from registry where process <> '71'),
 r as (select *, row_number() over (partition by key order by score desc, corporate_number) as r, lead(score) over (partition by key order by score desc, corporate_number) as nx from c)
-select key, corporate_number, round(score::double, 4) as score from r where r = 1 and (nx is null or score - nx >= 0.03)""")
+select key, corporate_number, round(score / 100.0, 4)::double as score from r where r = 1 and (nx is null or score - nx >= 3)""")
 def ambiguity_resolution(s, d):
     c = domain.registry(s, d).where("process <> '71'").select(F.col("prefecture").alias("key"), "corporate_number")
     return matching.resolve(c, "key", F.expr("cast((cast(corporate_number as bigint) * 13 % 97) / 100.0 as decimal(6,2))"), 0.03).select("key", "corporate_number", F.round(F.col("score").cast("double"), 4).alias("score"))
@@ -296,16 +297,16 @@ def ambiguity_resolution(s, d):
 _HAV = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))))"
 
 
-@query(f", a as (select place_id as id, lat, lng from stores where prefecture = 'NATION_3'), b as (select place_id as id, lat, lng from stores where prefecture = 'NATION_7') select a.id as a_id, b.id as b_id, round({_HAV}, 2) as metres from a, b where {_HAV} <= 5000")
+@query(f", a as (select place_id as id, lat, lng from stores where official_url = ''), b as (select place_id as id, lat, lng from stores where official_url <> '') select a.id as a_id, b.id as b_id, round({_HAV}, 2) as metres from a, b where {_HAV} <= 15000")
 def proximity_join(s, d):
     st = domain.stores(s, d).withColumnRenamed("place_id", "id")
-    return matching.near_pairs(st.where("prefecture = 'NATION_3'"), st.where("prefecture = 'NATION_7'"), 5000.0).withColumn("metres", F.round("metres", 2))
+    return matching.near_pairs(st.where("official_url = ''"), st.where("official_url <> ''"), 15000.0).withColumn("metres", F.round("metres", 2))
 
 
-@query(f", a as (select place_id as id, lat, lng from stores where prefecture = 'NATION_3'), b as (select place_id as id, lat, lng from stores where prefecture = 'NATION_7'), p as (select a.id as a_id, b.id as b_id, {_HAV} as m from a, b where {_HAV} <= 20000) select a_id, arg_min(b_id, (m, b_id)) as b_id, round(min(m), 2) as metres from p group by 1")
+@query(f", a as (select place_id as id, lat, lng from stores where official_url = ''), b as (select place_id as id, lat, lng from stores where official_url <> ''), p as (select a.id as a_id, b.id as b_id, {_HAV} as m from a, b where {_HAV} <= 20000) select a_id, arg_min(b_id, (m, b_id)) as b_id, round(min(m), 2) as metres from p group by 1")
 def nearest_anchor(s, d):
     st = domain.stores(s, d).withColumnRenamed("place_id", "id")
-    return matching.nearest(matching.near_pairs(st.where("prefecture = 'NATION_3'"), st.where("prefecture = 'NATION_7'"), 20000.0)).withColumn("metres", F.round("metres", 2))
+    return matching.nearest(matching.near_pairs(st.where("official_url = ''"), st.where("official_url <> ''"), 20000.0)).withColumn("metres", F.round("metres", 2))
 
 
 @query(f", a as (select place_id as id, lat, lng from stores), b as (select place_id as id, lat, lng from stores where prefecture = 'NATION_5') select distinct a.id from a, b where {_HAV} <= 2000")
@@ -314,13 +315,13 @@ def cover_map(s, d):
     return matching.covered(st, st.where("prefecture = 'NATION_5'"), 2000.0).select("id")
 
 
-@query(f", x as (select place_id as id, brand, lat, lng from stores where prefecture in ('NATION_3', 'NATION_7', 'NATION_5', 'NATION_9')) select a.id as a_id, b.id as b_id, a.brand, case when {_HAV} <= 1500 then 'DUPLICATE' else 'DOMINANT' end as relation from x a join x b on a.brand = b.brand and a.id < b.id where {_HAV} <= 15000")
+@query(f", x as (select place_id as id, brand, lat, lng from stores) select a.id as a_id, b.id as b_id, a.brand, case when {_HAV} <= 1500 then 'DUPLICATE' else 'DOMINANT' end as relation from x a join x b on a.brand = b.brand and a.id < b.id where {_HAV} <= 15000")
 def pair_classification(s, d):
     st = domain.stores(s, d).withColumnRenamed("place_id", "id")
     return matching.classify_pairs(st, 1500.0, 15000.0)
 
 
-@query(""", k as (select distinct lower(replace(name, '#', '')) as k from registry where prefecture = 'NATION_3'), g as (select k, unnest(list_distinct(list_transform(range(1, length(k)), lambda i: k[i:i + 1]))) as g from k), z as (select k, count(*) as n from g group by 1),
+@query(""", k as (select distinct lower(replace(name, '#', '')) as k from registry), g as (select k, unnest(list_distinct(list_transform(range(1, length(k)), lambda i: k[i:i + 1]))) as g from k), z as (select k, count(*) as n from g group by 1),
 p as (select a.k as a, b.k as b, count(*) as c from g a join g b on a.g = b.g and a.k <> b.k group by all), s as (select a, b, round(case when contains(a, b) or contains(b, a) then 0.9 else c / (za.n + zb.n - c) end, 4) as score from p join z za on za.k = a join z zb on zb.k = b)
 select a, max(score) as score, arg_min(b, (-score, b)) as b from s where score >= 0.5 group by a""")
 def fuzzy_best_match(s, d):
@@ -345,10 +346,13 @@ def coverage_dense_grid(s, d):
     return audit.dense_coverage(domain.stores(s, d), _os(s, d), read(s, d, "nation").select(F.col("n_name").alias("prefecture")), [*TARGETS, "Brand#99"])
 
 
-@query("select brand, coalesce((select string_agg(n_name, ' / ' order by n_name) from nation where n_name not in (select prefecture from stores s2 where s2.brand = s.brand)), '') as missing from (select distinct brand from stores where official_url = '' and place_id % 7 < 2) s".replace("from stores s2 where s2.brand", "from stores s2 where s2.official_url = '' and s2.place_id % 7 < 2 and s2.brand"))
+@query(""", b as (select concat(brand, regexp_extract(name, ' #[0-9]+$', 0)) as brand, prefecture from stores), m as (select x.brand, n_name from (select distinct brand from b) x cross join nation except select brand, prefecture from b)
+select x.brand, coalesce(string_agg(n_name, ' / ' order by n_name), '') as missing from (select distinct brand from b) x left join m using (brand) group by 1""")
 def missing_prefectures(s, d):
+    """Areas without a store, by brand and series, as there are few stores of a series."""
     areas = [r[0] for r in read(s, d, "nation").select("n_name").collect()]  # 25 rows
-    return audit.missing_areas(domain.stores(s, d), areas)
+    series = F.concat("brand", F.regexp_extract("name", " #[0-9]+$", 0))
+    return audit.missing_areas(domain.stores(s, d).withColumn("brand", series), areas)
 
 
 @query("select operator_name, count(distinct brand) as brands, count(*) as rows from operator_stores group by 1 having max(corporate_number) = '' and count(distinct brand) >= 8")

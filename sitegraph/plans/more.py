@@ -12,7 +12,7 @@ from .catalog import _ANCHOR, _links, _os, query
 from .domain import read
 
 
-@query(""", p as (select operator_hint as node, official_url as key from stores where official_url <> '' and prefecture = 'NATION_1'),
+@query(""", p as (select operator_hint as node, official_url as key from stores where official_url <> ''),
 e as (select distinct a.node as a, b.node as b from p a join p b using (key)), r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
 select a as node, min(b) as comp from r group by a""", recursive=True)
 def connected_operators(s, d):

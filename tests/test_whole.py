@@ -16,20 +16,20 @@ from sitegraph.plans import catalog, domain, more  # noqa: F401
 
 @pytest.fixture(scope="module")
 def small(tmp_path_factory):
-    """60 stores of 24 of 60 customers in 10 nations, as tables of the driver."""
+    """63 stores of 24 of 60 customers in 10 nations, as tables of the driver; the last three, of three operators, bear one name."""
     d = tmp_path_factory.mktemp("small")
     day = datetime.date(2020, 1, 1)
     put = lambda name, **columns: pq.write_table(pa.table(columns), d / f"{name}.parquet")
     put("nation", n_nationkey=list(range(10)), n_name=[f"NATION_{i}" for i in range(10)])
     put("customer", c_custkey=list(range(1, 61)), c_nationkey=[i * 7 % 10 for i in range(1, 61)])
-    put("orders", o_orderkey=[i + 6000 * j for j in (0, 1) for i in range(1, 31)], o_custkey=[1 + (i * i + i // 9) % 24 for i in range(1, 61)], o_orderdate=[day] * 60)
+    put("orders", o_orderkey=[i + 6000 * j for j in (0, 1) for i in range(1, 31)] + [48507, 97007, 145507], o_custkey=[1 + (i * i + i // 9) % 24 for i in range(1, 61)] + [1, 11, 21], o_orderdate=[day] * 63)
     return str(d)
 
 
 def test_near_singleton_brands_counts_every_store(spark, small):
     operators = defaultdict(set)
     for r in domain.stores(spark, small).collect():
-        operators[r.brand].add(r.operator_hint)
+        operators[r.name].add(r.operator_hint)
     want = sorted((b, min(o), len(o)) for b, o in operators.items() if len(o) <= 2)
     assert want and len(want) < len(operators)
     assert sorted((r.brand, r.operator_name, r.n) for r in catalog.QUERIES["near_singleton_brands"](spark, small).collect()) == want
@@ -38,7 +38,7 @@ def test_near_singleton_brands_counts_every_store(spark, small):
 def test_missing_prefectures_counts_every_store(spark, small):
     there = defaultdict(set)
     for r in domain.stores(spark, small).collect():
-        there[r.brand].add(r.prefecture)
+        there[r.brand + " #" + r.name.rsplit("#", 1)[1]].add(r.prefecture)
     want = sorted((b, " / ".join(f"NATION_{i}" for i in range(10) if f"NATION_{i}" not in p)) for b, p in there.items())
     assert any(m for _, m in want)
     assert sorted(map(tuple, catalog.QUERIES["missing_prefectures"](spark, small).collect())) == want
@@ -151,3 +151,15 @@ def test_layered_match_lets_unknown_cities_match_any(spark):
     top = spark.createDataFrame([(1, "P", "C", "P C Town1-1", 1.0, 1.0), (2, "P", "", "P C Town2-2", 2.0, 2.0), (3, "P", "D", "P C Town3-3", 3.0, 3.0), (4, None, None, "P C Town4-4", 4.0, 4.0), (5, "P", "C", "P C Town5-5", 5.0, 5.0)], columns)
     bottom = spark.createDataFrame([(11, "P", "", "P C Town1-1", 40.0, 1.0), (12, "P", "C", "P C Town2-2", 40.0, 2.0), (13, "P", "C", "P C Town3-3", 40.0, 3.0), (14, "Q", "E", "P C Town4-4", 40.0, 4.0), (15, "Q", "", "P C Town5-5", 40.0, 5.0)], columns)
     assert sorted(map(tuple, matching.layered_match(top, bottom, 0.95).collect())) == [(1, 11, "address"), (2, 12, "address"), (4, 14, "address")]
+
+
+@pytest.mark.parametrize("lat", [0.0, 35.0, 45.5, 60.0, 89.9, -71.0])
+def test_near_pairs_at_any_latitude(spark, lat):
+    r = random.Random(int(lat))
+    step = 0.02 / max(0.002, math.cos(math.radians(lat)))
+    points = [(i, lat + r.uniform(-0.03, 0.03), ((179.99 if i % 2 else -179.99) + r.uniform(-step, step) + 180) % 360 - 180) for i in range(60)]
+    df = spark.createDataFrame(points, "id int, lat double, lng double")
+    rows = df.collect()
+    want = sorted((a.id, b.id) for a in rows for b in rows if metres(a, b) <= 1000)
+    assert len(want) > 60
+    assert sorted((x.a_id, x.b_id) for x in matching.near_pairs(df, df, 1000.0).collect()) == want
