@@ -4,6 +4,9 @@ Both kinds of file split a text into pre-tokens and encode each by itself, so a
 be kept and used again. The library encodes every new pre-token; this module only finds them, and
 only in texts whose characters it classes surely: below U+0250, without the separators U+001C to
 U+001F and without special strings. All other texts go to the library whole.
+
+Pre-tokens are found in arrays of code points and told apart by 64-bit hashes. What is known lies in
+a table of fixed size, with two places for a hash, and a pool of ids, so a worker's memory is bounded.
 """
 
 from __future__ import annotations
@@ -15,38 +18,83 @@ import unicodedata
 from array import array
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 
 from ._shared import span_hashes
 
 LIMIT = 0x250
-MEMO_ENTRIES = 500_000
+SLOTS = 1 << 20
+POOL_IDS = 4 << 20
 SPLIT_CHARS = 50_000
+TEXT_CHARS = 1 << 20
+_U = np.uint64
 _SPACE = "\\t-\\r \\x85\\xa0"
+_OTHER, _LETTER, _DIGIT, _BLANK = range(4)
 
 
-def _class(kind: str) -> str:
-    out, start = "", None
-    for c in range(LIMIT + 1):
-        ok = c < LIMIT and unicodedata.category(chr(c))[0] == kind
-        if ok and start is None:
-            start = c
-        if not ok and start is not None:
-            out += f"\\u{start:04x}-\\u{c - 1:04x}"
-            start = None
+def _classes() -> np.ndarray:
+    """Class of each character below LIMIT; what lies beyond is never looked up."""
+    out = np.full(LIMIT, _OTHER, dtype=np.uint8)
+    for c in range(LIMIT):
+        kind = unicodedata.category(chr(c))[0]
+        out[c] = _LETTER if kind == "L" else _DIGIT if kind == "N" else _OTHER
+    out[[*range(9, 14), 0x20, 0x85, 0xA0]] = _BLANK
     return out
 
 
-_L, _N = _class("L"), _class("N")
-_BYTE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_SPACE}{_L}{_N}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_WORD = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^{_SPACE}{_L}{_N}]+")
+_CLASS = _classes()
 _UNSURE = re.compile("[^\\x00-\\x1b -\\u024f]")
-_TWO_SPACES = re.compile(f"[{_SPACE}] ")
+#: Endings after an apostrophe that are pre-tokens of their own.
+_SHORT, _LONG = "stmd", ("re", "ve", "ll")
+
 
+def pre_tokens(codes: np.ndarray, heads: np.ndarray, keep_blanks: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each pre-token in code points of sure texts that begin at heads, the first at 0.
 
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+    A run of letters, of digits (or, without blanks, each digit), of other characters; an apostrophe
+    with an ending is one. With keep_blanks a space before one belongs to it, and so no apostrophe
+    after a space has an ending; the rest of a run of blanks is one, its last character by itself
+    unless the text ends there.
+    """
+    n = len(codes)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = _CLASS[codes]
+    head = np.zeros(n + 1, dtype=bool)
+    head[heads[heads < n]] = True
+    head[n] = True
+    first = head[:-1].copy()
+    first[1:] |= kind[1:] != kind[:-1]
+    if not keep_blanks:
+        first |= kind == _DIGIT
+    quotes = np.flatnonzero((codes == 39) & first)
+    if keep_blanks:
+        quotes = quotes[(quotes == 0) | head[quotes] | (codes[quotes - 1] != 32)]
+    if len(quotes):
+        at = lambda k: np.where(quotes + k < n, codes[np.minimum(quotes + k, n - 1)], 0) * ~np.logical_or.reduce([head[np.minimum(quotes + i, n)] for i in range(1, k + 1)])
+        one, two = at(1), at(2)
+        size = np.isin(one, [ord(c) for c in _SHORT]).astype(np.int64)
+        for a, b in _LONG:
+            size[(one == ord(a)) & (two == ord(b))] = 2
+        quotes, size = quotes[size > 0], size[size > 0]
+        first[quotes + 1] = False
+        after = quotes + 1 + size
+        inside = after < n
+        first[after[inside]] = True
+    if not keep_blanks:
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], n)
+        solid = kind[starts] != _BLANK
+        return starts[solid], ends[solid]
+    blank = kind == _BLANK
+    last = blank.copy()  # the last of a run of blanks that something follows in its text
+    last[:-1] &= ~blank[1:]
+    last &= ~head[1:]
+    spot = np.flatnonzero(last)
+    first[spot] = True
+    glued = spot[codes[spot] == 32]
+    first[glued + 1] = False
+    starts = np.flatnonzero(first)
+    return starts, np.append(starts[1:], n)
 
 
 class Encoder:
@@ -77,149 +125,143 @@ class Encoder:
         if self.kind == "word" and spec["model"].get("end_of_word_suffix"):
             self.last = np.zeros(self.library.get_vocab_size(with_added_tokens=True), dtype=bool)
             self.last[[i for w, i in self.library.get_vocab(with_added_tokens=False).items() if w.endswith(spec["model"]["end_of_word_suffix"])]] = True
-        code = "HI"[self.dtype.itemsize == 4]
-        self.value = len if counting else lambda ids: array(code, ids).tobytes()
-        self.merge = sum if counting else b"".join
-        self.none = self.merge([])
-        self.pieces: dict[str, bytes | int] = {}
-        self.chunks: dict[int, bytes | int] = {}
+        self.counting = counting
+        self.code = "HI"[self.dtype.itemsize == 4]
+        self.none: bytes | int = 0 if counting else b""
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(SLOTS, dtype=_U)
+        self.places = np.zeros(SLOTS, dtype=np.int64)
+        self.sizes = np.zeros(SLOTS, dtype=np.int32)
+        self.pool = np.zeros(0 if self.counting else POOL_IDS // 4, dtype=self.dtype)
+        self.used = 0
 
     def whole(self, text: str) -> bytes | int:
-        return self.value(self.library.encode(text, add_special_tokens=False).ids)
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return len(ids) if self.counting else array(self.code, ids).tobytes()
 
     def sure(self, text: str) -> bool:
         if self.kind == "library" or _UNSURE.search(text) or self.special.search(text):
             return False
         return self.kind == "byte" or text.isascii() or not _UNSURE.search(text.lower())
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode pre-tokens that are not known yet."""
-        if len(self.pieces) > MEMO_ENTRIES:
-            self.pieces.clear()
-        value = self.value
+    def _encode(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pre-tokens in a row, number of each)."""
+        ids, sizes = [], []
         for a in range(0, len(new), 4000):
             part = new[a : a + 4000]
-            if self.last is not None and self._learn_joined(part):
-                continue
-            for w, e in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
-                self.pieces[w] = value(e.ids)
-
-    def _learn_joined(self, part: list[str]) -> bool:
-        """Encode pre-tokens as one text; true if each ended with an id that ends a word."""
+            got = self._joined(part) if self.last is not None else None
+            if got is None:
+                e = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)
+                words = np.array(e.word_ids, dtype=np.int64)
+                got = np.array(e.ids, dtype=self.dtype), np.bincount(words, minlength=len(part))
+            ids.append(got[0])
+            sizes.append(got[1])
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _joined(self, part: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Pre-tokens encoded as one text, if each ends with an id that ends a word."""
         ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(part) or ends[-1] != len(ids):
-            return False
-        starts = [0, *ends[:-1].tolist()]
-        if self.merge is sum:
-            self.pieces.update(zip(part, np.diff([0, *ends]).tolist(), strict=True))
-        else:
-            raw, w = ids.tobytes(), self.dtype.itemsize
-            self.pieces.update((x, raw[w * a : w * b]) for x, a, b in zip(part, starts, ends.tolist(), strict=True))
-        return True
-
-    def _know(self, lists: list[list[str]]) -> None:
-        wanted = set().union(*lists)
-        new = wanted - self.pieces.keys()
-        if new:
-            if len(self.pieces) + len(new) > MEMO_ENTRIES:
-                self.pieces.clear()
-                new = wanted
-            self._learn(list(new))
+            return None
+        return ids, np.diff(ends, prepend=0)
+
+    def _resolve(self, text: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the pool, number of ids) of each pre-token of a text."""
+        h = np.maximum(span_hashes(codes, starts, ends), _U(1))
+        slot = (h & _U(SLOTS - 1)).astype(np.int64)
+        other = ((h >> _U(40)) & _U(SLOTS - 1)).astype(np.int64)
+        known = self.keys[slot] == h
+        missing = np.flatnonzero(~known)
+        slot[missing] = other[missing]
+        missing = missing[self.keys[other[missing]] != h[missing]]
+        places, sizes = self.places[slot], self.sizes[slot]
+        if len(missing):
+            fresh, where, code = np.unique(h[missing], return_index=True, return_inverse=True)
+            where = missing[where]
+            ids, count = self._encode([text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+            place = self.used + np.cumsum(count) - count
+            if not self.counting:
+                if self.used + len(ids) > len(self.pool):
+                    self.pool = np.concatenate([self.pool[: self.used], ids, np.zeros(POOL_IDS // 4, dtype=self.dtype)])
+                else:
+                    self.pool[self.used : self.used + len(ids)] = ids
+                self.used += len(ids)
+            places[missing], sizes[missing] = place[code], count[code]
+            spot = (fresh & _U(SLOTS - 1)).astype(np.int64)
+            spot = np.where(self.keys[spot] == 0, spot, ((fresh >> _U(40)) & _U(SLOTS - 1)).astype(np.int64))
+            spot, one = np.unique(spot, return_index=True)  # one for each place
+            self.keys[spot], self.places[spot], self.sizes[spot] = fresh[one], place[one], count[one]
+        return places, sizes
 
     def ids(self, texts: list[str | None]) -> list:
-        """The ids of each text; a null text has none."""
+        """The ids of each text, as bytes of dtype, or their number; a null text has none."""
         out: list = [self.none] * len(texts)
         plain: list[int] = []
+        chars = 0
         for i, t in enumerate(texts):
             if not t:
                 continue
             if not self.sure(t):
                 out[i] = self.whole(t)
-            elif self.kind == "byte" and _TWO_SPACES.search(t):
-                pieces = _BYTE.findall(t)
-                self._know([pieces])
-                out[i] = self.merge(map(self.pieces.__getitem__, pieces))
-            else:
-                plain.append(i)
-        for i, x in zip(plain, self._plain([texts[i] for i in plain]), strict=True):
-            out[i] = x
+                continue
+            plain.append(i)
+            chars += len(t)
+            if chars >= TEXT_CHARS:
+                self._plain(texts, plain, out)
+                plain, chars = [], 0
+        self._plain(texts, plain, out)
         return out
 
-    def _plain(self, texts: list[str]) -> list:
-        """ids() of sure texts, in which no run of white space crosses a cut before a blank.
-
-        Each text falls into chunks between white space (or, where white space counts, before each
-        blank), which no pre-token crosses. Chunks are told apart by a 64-bit hash, so that only
-        the distinct ones of a batch become strings.
-        """
-        if not texts:
-            return []
-        strings = pa.array(texts, pa.large_string())
-        if self.kind == "word":
-            strings = pc.utf8_lower(strings)
-        offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
-        raw = np.frombuffer(strings.buffers()[2], np.uint8)
-        heads = offsets[:-1]
+    def _plain(self, texts: list, which: list[int], out: list) -> None:
+        """ids() of sure texts that hold something."""
+        if not which:
+            return
+        if self.used > POOL_IDS:
+            self.forget()
+        joined = "".join([texts[i] for i in which])
         if self.kind == "word":
-            solid = ~_BLANK[raw]
-            first = solid.copy()
-            first[1:] &= ~solid[:-1]
-            first[heads] = solid[heads]
-            last = solid.copy()
-            last[:-1] &= ~solid[1:]
-            last[offsets[1:] - 1] = solid[offsets[1:] - 1]
-            starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        else:
-            first = raw == 32
-            first[heads] = True
-            starts = np.flatnonzero(first)
-            ends = np.append(starts[1:], len(raw))
-        distinct, where, code = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.chunks]
-        if len(self.chunks) + len(new) > MEMO_ENTRIES // 2:
-            self.chunks.clear()
-            new = range(len(keys))
-        find = (_WORD if self.kind == "word" else _BYTE).findall
-        place = where[np.fromiter(new, dtype=np.int64, count=len(new))]
-        data = raw.tobytes()
-        names = [data[a:b].decode() for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)]
-        lists = [find(x) for x in names]
-        self._know(lists)
-        get, merge = self.pieces.__getitem__, self.merge
-        for i, pieces in zip(new, lists, strict=True):
-            self.chunks[keys[i]] = get(pieces[0]) if len(pieces) == 1 else merge(map(get, pieces))
-        values = [self.chunks[k] for k in keys]
-        of_text = np.searchsorted(starts, offsets)
-        if merge is sum:
-            total = np.concatenate([[0], np.cumsum(np.array(values, dtype=np.int64)[code])])
-            return np.diff(total[of_text]).tolist()
-        pool = np.frombuffer(b"".join(values), dtype=self.dtype)
-        sizes = np.array([len(v) for v in values], dtype=np.int64) // self.dtype.itemsize
-        at = np.cumsum(sizes) - sizes
-        size = sizes[code]
-        end = np.cumsum(size)
-        ids = pool[np.repeat(at[code] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
-        cut = np.concatenate([[0], end])[of_text]
-        return [ids[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            joined = joined.lower()  # keeps the lengths, as sure() saw to it
+        bounds = np.cumsum([0, *(len(texts[i]) for i in which)])
+        codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+        starts, ends = pre_tokens(codes, bounds[:-1], self.kind == "byte")
+        places, sizes = self._resolve(joined, codes, starts, ends)
+        end = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        cut = end[np.searchsorted(starts, bounds)]
+        if self.counting:
+            for i, n in zip(which, np.diff(cut).tolist(), strict=True):
+                out[i] = n
+            return
+        ids = self.pool[np.repeat(places - end[:-1], sizes) + np.arange(end[-1])]
+        for i, x, y in zip(which, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            out[i] = ids[x:y].tobytes()
 
     # -- huge texts ------------------------------------------------------------------------------
 
     def cut(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(end of each pre-token or special string, its number of ids) for byte-level files."""
-        pieces: list[str] = []
+        ends, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         at = 0
         for m in [*self.special.finditer(text), None]:
             end = m.start() if m else len(text)
             part = text[at:end]
-            if part:
-                pieces += _BYTE.findall(part) if not _UNSURE.search(part) else [part[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(part)]
+            if part and not _UNSURE.search(part):
+                codes = np.frombuffer(part.encode("utf-32-le"), dtype=np.uint32)
+                a, b = pre_tokens(codes, np.zeros(1, np.int64), True)
+                ends.append(b + at)
+                sizes.append(self._resolve(part, codes, a, b)[1])
+            elif part:
+                spans = [b for _, (_, b) in self.library.pre_tokenizer.pre_tokenize_str(part)]
+                names = [part[a:b] for a, b in zip([0, *spans], spans)]
+                ends.append(np.array(spans, dtype=np.int64) + at)
+                sizes.append(np.array([len(e.ids) for e in self.library.encode_batch(names, add_special_tokens=False)], dtype=np.int64))
             if m:
-                pieces.append(m[0])
+                ends.append(np.array([m.end()]))
+                sizes.append(np.array([len(self.library.encode(m[0], add_special_tokens=False).ids)]))
                 at = m.end()
-        self._know([pieces])
-        return np.cumsum([len(p) for p in pieces]), np.array([self.pieces[p] for p in pieces], dtype=np.int64)
+        return np.concatenate(ends), np.concatenate(sizes)
 
     def count_spliced(self, text: str, chunk: int = SPLIT_CHARS, overlap: int = 512) -> int:
         """Number of ids of a huge text, from overlapping chunks; for a counting encoder.
