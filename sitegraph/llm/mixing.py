@@ -3,19 +3,32 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialise
+from ._bpe import encoder
+from ._shared import materialise, slices, small_batches
 
 BLOCK_DOCS = 1024
 SECTIONS, ROUNDS = 32, 4
+STEEPEST = 4.0
 BROADCAST_ROWS = 200_000
 
 
-def _keyed(docs: DataFrame, seed: int) -> DataFrame:
-    return docs.withColumns({"_src": F.coalesce(F.col("source").cast("string"), F.lit("")), "_h": F.xxhash64("doc_id", "text", F.lit(seed))})
+def _source() -> Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit(""))
+
+
+def _hash(seed: int) -> Column:
+    return F.xxhash64("doc_id", "text", F.lit(seed))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast a table whose rows were counted and are few numbers and a name each."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def source_weights(sources: DataFrame, max_repeat: float, target_entropy: float | None = None) -> tuple[DataFrame, float]:
@@ -25,14 +38,17 @@ def source_weights(sources: DataFrame, max_repeat: float, target_entropy: float
     SECTIONS at a time so that a few small aggregations suffice, to the least one at which no source
     is repeated more than max_repeat times and, if given, the weights' entropy (in nats) is at most
     target_entropy. The budget is the least at which each source is read once in full, so repeats
-    are 1 for the source that is turned down most. Sources without tokens are read once.
+    are 1 for the source that is turned down most. Sources without tokens are read once. If no
+    exponent up to STEEPEST meets both limits, that is an error.
     """
+    if max_repeat < 1:
+        raise ValueError("max_repeat is 1 at least, as every row is read once")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     if not total:
         return sources.select("*", F.lit(0.0).alias("weight"), F.lit(1.0).alias("repeats")), 1.0
     p = F.col("tokens") / F.lit(float(total))
     able = sources.where("tokens > 0")
-    low, high = 0.0, 4.0 if target_entropy is not None else 1.0
+    low, high = 0.0, STEEPEST if target_entropy is not None else 1.0
     for _ in range(ROUNDS):
         grid = [low + (high - low) * i / SECTIONS for i in range(SECTIONS + 1)]
         cols = []
@@ -41,7 +57,9 @@ def source_weights(sources: DataFrame, max_repeat: float, target_entropy: float
         r = able.agg(*cols).first()
         entropy = [math.log(r[f"z{i}"]) - a * r[f"l{i}"] / r[f"z{i}"] for i, a in enumerate(grid)]
         fits = [r[f"x{i}"] / r[f"n{i}"] <= max_repeat * (1 + 1e-12) and (target_entropy is None or entropy[i] <= target_entropy + 1e-12) for i in range(len(grid))]
-        k = next((i for i, ok in enumerate(fits) if ok), len(grid) - 1)
+        if not any(fits):
+            raise ValueError(f"no exponent up to {STEEPEST} gives an entropy of {target_entropy} within {max_repeat} repeats")
+        k = fits.index(True)
         low, high = grid[max(0, k - 1)], grid[k]
     power = F.pow(p, F.lit(high - 1))
     r = able.agg(F.min(power), F.sum(F.pow(p, F.lit(high)))).first()
@@ -49,55 +67,90 @@ def source_weights(sources: DataFrame, max_repeat: float, target_entropy: float
     return weighed, high
 
 
-def _plan(keyed: DataFrame, max_repeat: float, target_entropy: float | None, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with block, blocks with what they get, documents of cut blocks that get one more)."""
-    small, _ = materialise(keyed.select("doc_id", "_src", "_h", F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long").alias("n_tokens")), "mix-docs")
-    sources, _ = materialise(source_weights(small.groupBy(F.col("_src").alias("src")).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), max_repeat, target_entropy)[0], "mix-sources")
-    lots = sources.select("src", "tokens", "weight", "repeats", F.ceil(F.col("docs") / BLOCK_DOCS).alias("n_blocks"))
-    placed = small.join(F.broadcast(lots) if lots.count() <= BROADCAST_ROWS else lots, F.col("_src") == F.col("src")).withColumn("block", F.pmod("_h", "n_blocks"))
+def _counted(docs: DataFrame, tokenizer: str | None, seed: int) -> DataFrame:
+    """doc_id, src, h, n_tokens of each row: ids of the tokenizer, or without one runs of non-space characters."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _source().alias("src"), _hash(seed).alias("h"), text.alias("text"))
+    if tokenizer is None:
+        return keyed.select("doc_id", "src", "h", F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("n_tokens"))
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer, counting=True)
+        for b in slices(batches, "text"):
+            yield pa.record_batch([b.column("doc_id"), b.column("src"), b.column("h"), pa.array(enc.counts(b.column("text").to_pylist()), pa.int64())], names=["doc_id", "src", "h", "n_tokens"])
+
+    return keyed.mapInArrow(run, "doc_id long, src string, h long, n_tokens long")
+
+
+def _permuted(sums: DataFrame, seed: int) -> DataFrame:
+    """sums (src, block, held) with block_rank and end, the running sum of held, in each source's order of a hash.
+
+    Blocks are range-partitioned by source and hash; what the partitions before hold is added, so a
+    source of many blocks is spread over many tasks.
+    """
+    spark = sums.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lined = sums.withColumn("o", F.xxhash64("src", "block", F.lit(seed))).repartitionByRange(parts, "src", "o", "block")
+    lined, _ = materialise(lined.withColumn("part", F.spark_partition_id()), "mix-order")
+    by_part = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    before = lined.groupBy("src", "part").agg(F.count("*").alias("n"), F.sum("held").alias("held"))
+    before = before.select("src", "part", F.coalesce(F.sum("n").over(by_part), F.lit(0)).alias("n_before"), F.coalesce(F.sum("held").over(by_part), F.lit(0)).alias("held_before"))
+    order = Window.partitionBy("src", "part").orderBy("o", "block")
+    ranked = lined.withColumns({"block_rank": F.row_number().over(order), "end": F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    return ranked.join(_small(before), ["src", "part"]).withColumns({"block_rank": F.col("block_rank") + F.col("n_before"), "end": F.col("end") + F.col("held_before")}).drop("o", "part", "n_before", "held_before")
+
+
+def _plan(docs: DataFrame, max_repeat: float, target_entropy: float | None, seed: int, tokenizer: str | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents with block, sources with their number of blocks, blocks with what they get, documents of cut blocks that get one more)."""
+    small, _ = materialise(_counted(docs, tokenizer, seed), "mix-docs")
+    sources, _ = materialise(source_weights(small.groupBy("src").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), max_repeat, target_entropy)[0], "mix-sources")
+    lots = _small(sources.select("src", "tokens", "weight", "repeats", F.ceil(F.col("docs") / BLOCK_DOCS).alias("n_blocks")))
+    placed = small.join(lots, "src").withColumn("block", F.pmod("h", "n_blocks"))
     sums = placed.groupBy("src", "block").agg(F.sum("n_tokens").alias("held"), F.first("repeats").alias("repeats"), F.first("tokens").alias("tokens"), F.first("weight").alias("weight"))
-    order = Window.partitionBy("src").orderBy(F.xxhash64("src", "block", F.lit(seed)), "block")
-    sums = sums.withColumns({"block_rank": F.row_number().over(order), "end": F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, 0)), "whole": F.floor("repeats")})
+    sums = _permuted(sums, seed).withColumn("whole", F.floor("repeats"))
     budget = (F.col("repeats") - F.col("whole")) * F.col("tokens")
     sums = sums.withColumn("left", budget - (F.col("end") - F.col("held")))
     blocks, _ = materialise(sums.select("src", "block", "block_rank", "weight", "repeats", "whole", "left", (F.col("left") >= F.col("held")).alias("more"), ((F.col("left") > 0) & (F.col("left") < F.col("held"))).alias("cut")), "mix-blocks")
-    within = Window.partitionBy("src", "block").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
-    cut = blocks.where("cut").select("src", "block", "left")
-    extra = placed.join(F.broadcast(cut) if cut.count() <= BROADCAST_ROWS else cut, ["src", "block"]).withColumn("run", F.sum("n_tokens").over(within)).groupBy("src", "_h").agg(F.max(F.col("run") <= F.col("left")).alias("extra"), F.max("run").alias("run"), F.max("left").alias("left")).where(F.col("run") <= F.col("left")).select(F.col("src").alias("xs"), F.col("_h").alias("xh"))
+    within = Window.partitionBy("src", "block").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    cut = _small(blocks.where("cut").select("src", "block", "left"))
+    alike = placed.join(cut, ["src", "block"]).groupBy("src", "block", "left", "h").agg(F.sum("n_tokens").alias("n_tokens"))  # about BLOCK_DOCS hashes in a block
+    extra = alike.withColumn("run", F.sum("n_tokens").over(within)).where("run <= left").select("src", "h", F.lit(True).alias("extra"))
     extra, _ = materialise(extra, "mix-extra")
-    return placed, blocks, extra
+    return placed, lots, blocks, extra
 
 
 def _with_copies(rows: DataFrame, blocks: DataFrame, extra: DataFrame) -> DataFrame:
-    blocks = F.broadcast(blocks) if blocks.count() <= BROADCAST_ROWS else blocks
-    extra = F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra
-    out = rows.join(blocks, ["src", "block"]).join(extra, (F.col("src") == F.col("xs")) & (F.col("_h") == F.col("xh")), "left")
-    return out.withColumn("copies", (F.col("whole") + F.when(F.col("more") | F.col("xh").isNotNull(), 1).otherwise(0)).cast("long"))
+    out = rows.join(_small(blocks), ["src", "block"]).join(_small(extra), ["src", "h"], "left")
+    return out.withColumn("copies", (F.col("whole") + F.when(F.col("more") | F.col("extra"), 1).otherwise(0)).cast("long"))
 
 
-def mix(docs: DataFrame, max_repeat: float = 2.0, target_entropy: float | None = None, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, max_repeat: float = 2.0, target_entropy: float | None = None, seed: int = 17, tokenizer: str | None = None) -> DataFrame:
     """doc_id, source, n_tokens, weight, repeats, copies, block, block_rank for each row of docs (doc_id, text, source).
 
-    n_tokens counts runs of non-space characters. weight is the source's share of the mixture,
-    repeats how often it is read (see source_weights), copies how often this row is. A source's rows
-    fall to blocks by hash; blocks are permuted by another hash (block_rank); all rows get the whole
-    part of repeats, and the blocks first in the permutation one more, until the source's budget of
-    tokens is used up; the block that the budget cuts goes row by row in the order of the hash.
+    n_tokens counts the ids of a tokenizer file, or without one runs of non-space characters. weight
+    is the source's share of the mixture, repeats how often it is read (see source_weights), copies
+    how often this row is. A source's rows fall to blocks by hash; blocks are permuted by another
+    hash (block_rank); all rows get the whole part of repeats, and the blocks first in the
+    permutation one more, until the source's budget of tokens is used up; the block that the budget
+    cuts goes row by row in the order of the hash.
 
     No row is lost: copies is 1 at least. A null source is the source of the empty name; null and
-    empty texts have no tokens; rows alike in doc_id and text get the same copies. Other columns are
-    ignored; an empty table gives an empty table.
+    empty texts have no tokens; long texts count whole; rows alike in doc_id and text get the same
+    copies, null ids included. Sources of equal shares get equal weights. Other columns are ignored;
+    an empty table gives an empty table.
     """
-    placed, blocks, extra = _plan(_keyed(docs.select("doc_id", "text", "source"), seed), max_repeat, target_entropy, seed)
-    rows = placed.select("doc_id", "_h", "src", "block", "n_tokens")
+    placed, _, blocks, extra = _plan(docs, max_repeat, target_entropy, seed, tokenizer)
+    rows = placed.select("doc_id", "h", "src", "block", "n_tokens")
     return _with_copies(rows, blocks, extra).select("doc_id", F.col("src").alias("source"), "n_tokens", "weight", "repeats", "copies", "block", "block_rank")
 
 
-def mixed_rows(docs: DataFrame, max_repeat: float, target_entropy: float | None = None, seed: int = 17) -> DataFrame:
-    """docs with each row as many times as mix() says; columns stay."""
-    keyed = _keyed(docs, seed)
-    placed, blocks, extra = _plan(keyed, max_repeat, target_entropy, seed)
-    lots, _ = materialise(placed.groupBy("src").agg(F.first("n_blocks").alias("n_blocks")), "mix-lots")
-    lots = F.broadcast(lots) if lots.count() <= BROADCAST_ROWS else lots
-    rows = keyed.join(lots, F.col("_src") == F.col("src")).withColumn("block", F.pmod("_h", "n_blocks"))
-    return _with_copies(rows, blocks, extra).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+def mixed_rows(docs: DataFrame, max_repeat: float, target_entropy: float | None = None, seed: int = 17, tokenizer: str | None = None) -> DataFrame:
+    """docs with each row as many times as mix() says; all columns stay, whatever their names.
+
+    Nulls, empty and long texts, repeated rows and empty tables are as in mix().
+    """
+    _, lots, blocks, extra = _plan(docs, max_repeat, target_entropy, seed, tokenizer)
+    keyed = docs.select(F.struct("*").alias("row"), _source().alias("src"), _hash(seed).alias("h"))
+    rows = keyed.join(lots.select("src", "n_blocks"), "src").withColumn("block", F.pmod("h", "n_blocks"))
+    return _with_copies(rows, blocks, extra).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
