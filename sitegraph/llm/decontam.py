@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import mix64, shingle_hashes, slices, small_batches, word_hashes
-from .neardup import distinct_shingles
+from ._shared import materialise, mix64, shingle_hashes, slices, small_batches, unused, word_hashes
+from .neardup import BROADCAST_ROWS, distinct_shingles
 
 BLOCK_SHINGLES = 2_000_000
 _U = np.uint64
@@ -108,11 +108,8 @@ def _search(held, width: int, threshold: float):
 
 
 def without_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without the rows that contain an item; all other rows stay as they are, null ids included."""
-    from ._shared import materialise
-    from .neardup import BROADCAST_ROWS
-
-    hit, _ = materialise(contained_items(docs, items, **options).select(F.col("doc_id").alias("hit")).distinct(), "leaks")
-    if hit.count() <= BROADCAST_ROWS:
-        hit = F.broadcast(hit)
-    return docs.join(hit, docs.doc_id.eqNullSafe(F.col("hit")), "left_anti")
+    """docs without the rows that contain an item; all other rows and all columns stay as they are, null ids and repeated rows included."""
+    hit = unused(docs, "hit")
+    hits, _ = materialise(contained_items(docs, items, **options).select(F.col("doc_id").alias(hit)).distinct(), "leaks")
+    hits = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits  # an id each
+    return docs.join(hits, docs.doc_id.eqNullSafe(F.col(hit)), "left_anti")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import held_out, materialise, slices, small_batches, span_hashes, word_spans
+from ._shared import held_out, materialise, slices, small_batches, span_hashes, unused, word_spans
 
 SAMPLE_DOCS = 400
 SAMPLE_WORDS = 30_000
@@ -237,11 +237,12 @@ def keep_identified(docs: DataFrame, vocabulary_path: str, min_score: float = 0.
     model = fit(docs, vocabulary_path)
     schema = docs.schema
     score = _scorer(model)
+    letters = unused(docs, "letters")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            judged = next(iter(score([pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), b.column("text"), b.column("_letters")], names=["doc_id", "text", "letters"])])), None)
+            judged = next(iter(score([pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), b.column("text"), b.column(letters)], names=["doc_id", "text", "letters"])])), None)
             ok = [i for i, (x, y) in enumerate(zip(judged.column("lang_pred").to_pylist(), judged.column("score").to_pylist(), strict=True)) if x != "und" and y >= min_score]
-            yield b.select([c for c in b.schema.names if c != "_letters"]).take(pa.array(ok, pa.int64()))
+            yield b.select([c for c in b.schema.names if c != letters]).take(pa.array(ok, pa.int64()))
 
-    return docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
+    return docs.withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import re
+import shutil
 import zlib
 from collections import Counter
 
@@ -72,8 +73,33 @@ def test_join_of_odd_rows(odd):
     assert sorted(str(r.doc_id) for r in kept.collect() if r.text and shingles(r.text)) == ["1", "4", "6", "7", "None"]
 
 
-def test_forest_depth():
-    assert neardup.forest_depth(0.8, 24, 8, 0.99999) == 4 and neardup.forest_depth(0.8, 24, 8, 0.5) == 8
+def test_prefixes_are_shortened_until_the_recall_is_met():
+    target = neardup.TARGET_RECALL
+    for n in (1, 3, 4, 5, 6, 7, 8, 9, 20, 64, 65, 10_000):
+        k = neardup.matched_prefix(n, 0.8, target)
+        pairs = [i / u for i in range(1, min(n, 200) + 1) for u in range(n, 2 * n) if 0.8 <= i / u < 1]
+        worst = min(pairs, default=1.0) if n <= 200 else 0.8
+        assert neardup.recall(worst, k) >= target and (k == neardup.DEPTH or neardup.recall(min(worst, 0.8) if n > 64 else worst, k + 1) < target)
+    assert neardup.matched_prefix(1000, 0.8, target) == 5 and neardup.matched_prefix(7, 0.8, target) == 7 and neardup.matched_prefix(3, 0.8, target) == 8
+
+
+def test_forest_finds_every_pair_at_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(600):
+        w = [f"a{k}x{x}" for x in rng.integers(0, 10**9, 49)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:44], *(f"b{k}x{x}" for x in rng.integers(0, 10**9, 5))]))]  # 40 of 50 shingles are shared
+    got = neardup.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("n_links = 1 and class_id = doc_id - doc_id % 2").count() == 1200
+
+
+def test_join_of_repeated_rows_and_low_thresholds(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, text)] * 300 + [(8, text + " more")] * 5
+    got = neardup.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == linked(rows)
+    with pytest.raises(ValueError):
+        neardup.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.3)
 
 
 def test_containment(spark, documents, sf, odd):
@@ -145,11 +171,34 @@ def test_token_files(spark, documents, odd, tmp_path):
 
 def test_keyed_access(spark, documents, tmp_path):
     path = tokenbin.write_tokens(documents, WORD, f"file://{tmp_path}/t")
-    some = documents.limit(3)
+    some = documents.orderBy("doc_id").limit(3)
     keys = some.select("doc_id").union(spark.createDataFrame([(10**12,)], "doc_id long"))
     lib = Tokenizer.from_file(WORD)
     want = {r.doc_id: lib.encode(r.text, add_special_tokens=False).ids + [1] for r in some.collect()}
     assert {r.doc_id: r.ids for r in tokenbin.fetch(spark, path, keys, with_ids=True).collect()} == want
+    whole = {r.key: (r.start, r.n_tokens, r.ids_crc32) for r in tokenbin.stored(spark, path).collect()}
+    folders = sorted(tmp_path.glob("t/shards/part=*"))
+    assert len(folders) > 1
+    for f in folders[1:]:  # the first ids lie in the first part: nothing else is opened
+        shutil.rmtree(f)
+    got = tokenbin.fetch(spark, path, keys, with_ids=True).collect()
+    assert {r.doc_id: r.ids for r in got} == want and all(whole[r.doc_id] == (r.start, r.n_tokens, r.ids_crc32) for r in got)
+
+
+def test_keys_that_go_on_in_other_shards(spark, tmp_path, monkeypatch):
+    rows = [(5, "alpha beta")] * 40 + [(5, f"gamma {i}") for i in range(30)] + [(i, f"delta {i}") for i in range(20)] + [(None, "epsilon")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(tokenbin, "SHARD_DOCS", 8)
+    monkeypatch.setattr(tokenbin, "BUCKET_KEYS", 4)
+    want = Counter(d for d, _ in rows)
+    for few in (tokenbin.FEW_KEYS, 0):
+        monkeypatch.setattr(tokenbin, "FEW_KEYS", few)
+        path = tokenbin.write_tokens(df, WORD, f"file://{tmp_path}/m{few}")
+        assert spark.read.parquet(f"{path}/more").count() > 5
+        asked = spark.createDataFrame([(5,), (5,), (3,), (99,)], "doc_id long")
+        assert Counter(r.doc_id for r in tokenbin.fetch(spark, path, asked).collect()) == {5: want[5], 3: 1}
+        got = tokenbin.token_table(df, WORD).collect()
+        assert Counter(r.doc_id for r in got) == want and len({r.start for r in got}) == len(rows)
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 100, 4096])
@@ -259,6 +308,30 @@ def test_mixing(documents, odd):
     assert mixing.mixed_rows(odd, 1.5).columns == odd.columns and mixing.mixed_rows(odd, 1.5).count() >= odd.count()
 
 
+def test_mixing_limits_and_repeats(spark):
+    rows = [(1, "a b c", "x")] * 3000 + [(i, "d e", "x") for i in range(2, 1500)] + [(i, "f g h", "y") for i in range(5000, 5100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, max_repeat=1.5).collect()
+    for name in "xy":
+        held = [r for r in got if r.source == name]
+        budget = held[0].repeats * sum(r.n_tokens for r in held)
+        read = sum(r.n_tokens * r.copies for r in held)
+        assert read <= budget + 1e-6 and read > budget - 9000 - 3
+        ranks = {r.block: r.block_rank for r in held}
+        assert sorted(ranks.values()) == list(range(1, len(ranks) + 1))
+    assert mixing.mixed_rows(df, 1.5).count() == sum(r.copies for r in got)
+    with pytest.raises(ValueError):
+        mixing.mix(df, target_entropy=1e-6)
+    with pytest.raises(ValueError):
+        mixing.mix(df, max_repeat=0.5)
+
+
+def test_mixing_counts_tokens(documents):
+    lib = Tokenizer.from_file(WORD)
+    rows = {r.doc_id: r.n_tokens for r in mixing.mix(documents, tokenizer=WORD).collect()}
+    assert rows == {r.doc_id: len(lib.encode(r.text or "", add_special_tokens=False)) for r in documents.collect()}
+
+
 def brute_roles(turns, logs):
     score, back = None, []
     for given, marked, shape in turns:

@@ -6,6 +6,9 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
+from sitegraph.llm._shared import materialise
 from tests.llm.test_operators import linked, shingles
 
 
@@ -34,3 +37,21 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == expected
     assert corpus_pipeline.run(spark, sf).count() == len(out)
+
+
+CLASHES = ("src", "block", "copies", "head", "hit", "_letters", "weight", "left", "n_blocks", "text_hash", "row", "h", "copy", "cls", "node", "key", "part", "seq", "slot", "bucket", "spread", "extra", "count", "Head", "HIT_")
+
+
+def test_stages_keep_columns_of_any_name(spark, sf, odd):
+    docs = odd.drop("cls", "count")
+    for k, c in enumerate(dict.fromkeys(c.lower() for c in CLASHES)):
+        docs = docs.withColumn(c, F.lit(f"keep{k}"))
+    want = {c: f"keep{k}" for k, c in enumerate(dict.fromkeys(c.lower() for c in CLASHES))}
+    for rows in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            rows, _ = materialise(stage(spark, rows, sf), name)
+            assert rows.columns == docs.columns
+            assert all(r[c] == v for r in rows.collect() for c, v in want.items())
+        got = corpus_pipeline.STAGES[-1][1](spark, rows, sf).collect()
+        assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in rows.collect())
+    assert not got
