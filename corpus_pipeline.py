@@ -31,7 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of small sources come again, up to MAX_REPEAT times; each comes once at least."""
-    return mixing.mixed_rows(docs, MAX_REPEAT)
+    return mixing.mixed_rows(docs, MAX_REPEAT, tokenizer=public_tokenizers.path("word_bpe_49k.json"))
 
 
 def token_binary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
