@@ -14,7 +14,8 @@ from ._shared import held_out, materialise, slices, small_batches, span_hashes,
 
 SAMPLE_DOCS = 400
 SAMPLE_WORDS = 30_000
-LONGEST = 6
+LANGS = 256
+LEARNT_RUN = 24
 ROUNDS = 3
 UNSEEN = 1e-8
 _MARK = 0x2581
@@ -23,17 +24,17 @@ _MULT = _U(0x9E3779B97F4A7C15)
 
 
 def vocabulary(path: str) -> list[str]:
-    """Lowercased pieces of a SentencePiece file, of LONGEST characters at most; the mark of a word's start counts."""
+    """Lowercased pieces of a SentencePiece file that hold a letter; the mark of a word's start counts."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     out = {m.id_to_piece(i).lower() for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))}
-    return sorted(p for p in out if 0 < len(p) <= LONGEST and any(c.isalpha() for c in p) and "▁" not in p[1:])
+    return sorted(p for p in out if any(c.isalpha() for c in p) and "▁" not in p[1:])
 
 
-def _codes(words: list[str]) -> np.ndarray:
+def _codes(words: list[str], mark: str = "▁") -> np.ndarray:
     """Code points of words of one length, each after the mark of a start."""
-    return np.frombuffer("".join("▁" + w for w in words).encode("utf-32-le"), dtype=np.uint32).reshape(len(words), -1)
+    return np.frombuffer("".join(mark + w for w in words).encode("utf-32-le"), dtype=np.uint32).reshape(len(words), -1)
 
 
 @dataclass
@@ -63,16 +64,19 @@ class Pieces:
             self._table = keys[order], order, gate
         return self._table
 
+    @property
+    def longest(self) -> int:
+        return max(map(len, self.names), default=1)
+
     def find(self, codes: np.ndarray) -> list[np.ndarray]:
         """For each length from 1 on, the piece that ends at each position of each word, or -1."""
         keys, order, gate = self._tables()
         n, width = codes.shape
         out = []
         wide = codes.astype(_U) + _U(1)
-        for size in range(1, min(LONGEST, width) + 1):
-            h = np.zeros((n, width - size + 1), dtype=_U)
-            for k in range(size):
-                h = (h + wide[:, k : width - size + 1 + k]) * _MULT
+        h = np.zeros((n, width), dtype=_U)
+        for size in range(1, min(self.longest, width) + 1):
+            h = (h[:, : width - size + 1] + wide[:, size - 1 :]) * _MULT
             piece = np.full((n, width), -1, dtype=np.int32)
             maybe = np.nonzero(gate[(h >> _U(46)).astype(np.int64)])
             at = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
@@ -104,7 +108,7 @@ class Model:
 
     def _forward(self, found: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         n, width = found[0].shape
-        none = len(self.pieces.names)
+        none, longest = len(self.pieces.names), len(found)
         ring = [np.ones((n, len(self.langs)))]
         shift = np.zeros((n, len(self.langs)))
         for j in range(width):
@@ -114,7 +118,7 @@ class Model:
                 hit = np.flatnonzero(piece >= 0)
                 if len(hit):
                     total[hit] += ring[-size][hit] * self.probs[piece[hit]]
-            ring = [*ring[-LONGEST:], total]
+            ring = [*ring[1 - longest :], total] if longest > 1 else [total]
             if j % 8 == 7:
                 scale = np.maximum(total, 1e-280)
                 ring = [r / scale for r in ring]
@@ -131,11 +135,12 @@ def _learn(pieces: Pieces, counts: dict[str, dict[str, int]]) -> Model:
         k = langs.index(lang)
         p = np.full(none + 1, 1.0 / none)
         p[none] = UNSEEN
-        by_width: dict[int, list[tuple[str, int]]] = {}
+        by_width: dict[tuple[str, int], list[tuple[str, int]]] = {}
         for w, c in words.items():
-            if 0 < len(w) <= 24:
-                by_width.setdefault(len(w), []).append((w, c))
-        groups = [(pieces.find(_codes([w for w, _ in x])), np.array([c for _, c in x], dtype=float)) for x in by_width.values()]
+            for a in range(0, len(w), LEARNT_RUN):
+                part = w[a : a + LEARNT_RUN]
+                by_width.setdefault(("" if a else "▁", len(part)), []).append((part, c))
+        groups = [(pieces.find(_codes([w for w, _ in x], mark)), np.array([c for _, c in x], dtype=float)) for (mark, _), x in by_width.items()]
         for _ in range(ROUNDS):
             got = np.full(none + 1, 1e-3)
             for found, weight in groups:
@@ -167,11 +172,21 @@ def fit(docs: DataFrame, vocabulary_path: str) -> Model:
 
     The sample is bounded: the first SAMPLE_DOCS documents of each language by a hash of doc_id, and
     of their words the SAMPLE_WORDS most frequent; documents are chosen before any text is read.
+    Words of more than LEARNT_RUN letters are learnt in pieces of that length. More than LANGS
+    languages are an error, as their words come to the driver.
     """
     able = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    counted = able.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGS + 1).collect()
+    if len(counted) > LANGS:
+        raise ValueError(f"more than {LANGS} languages to learn")
+    if not counted:
+        return _learn(Pieces(vocabulary(vocabulary_path)), {})
+    n = F.element_at(F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], r["n"])]), F.col("lang"))
+    near = F.col("h") / float(1 << 30) * n < 4 * SAMPLE_DOCS  # about four times the sample is ranked, not all rows
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = able.withColumn("h", F.xxhash64("doc_id", F.lit(3))).withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE_DOCS).select("doc_id", "lang").distinct()
+    chosen = able.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))).where(near).distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE_DOCS).select("doc_id", "lang")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).join(F.broadcast(chosen), ["doc_id", "lang"])
+    texts = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # one text of a repeated id
     words = texts.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("lang", "word").count()
     ranked = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
     kept, _ = materialise(words.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= SAMPLE_WORDS).drop("r"), "lang-words")
