@@ -39,20 +39,18 @@ def _search(k: int, block: int):
         q, c = (np.pad(m, ((0, d - len(m)), (0, 0))) for m in (q, c))
         order = np.argsort(-np.abs(q).sum(axis=1) * np.abs(c).sum(axis=1), kind="stable")
         q, c = q[order], c[order]
+        exact = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * d < _SAFE
+        fine = lambda m: m if exact else m / 2.0 ** np.ceil(np.log2(max(1.0, float(np.abs(m).max(initial=0)))))
+        whole_q, whole_c, q, c = q, c, fine(q), fine(c)  # beyond 53 bits bounds are kept on scaled numbers, their rounding included
         rest = lambda m: np.sqrt(np.vstack([np.cumsum((m * m)[::-1], axis=0)[::-1], np.zeros((1, m.shape[1]))]))
         q_rest, c_rest = rest(q), rest(c)  # mass of the dimensions that are still to come
-        exact = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * d < _SAFE
+        rough = 0.0 if exact else (d + 4) * 2.0**-52
         qid, qrow, cid = queries.column("vec_id").to_numpy(), queries.column("row").to_numpy(), candidates.column("vec_id").to_numpy()
         by_id = np.argsort(cid, kind="stable")
-        cid, c, c_rest = cid[by_id], c[:, by_id], c_rest[:, by_id]
+        cid, c, c_rest, whole_c = cid[by_id], c[:, by_id], c_rest[:, by_id], whole_c[:, by_id]
         found: list[tuple] = []
         for j in range(len(qid)):
             alive = np.flatnonzero(cid != qid[j])
-            if not exact:
-                score = [sum(int(a) * int(b) for a, b in zip(q[:, j], c[:, i], strict=True)) for i in alive]
-                part = sorted(zip(alive, score, strict=True), key=lambda x: (-x[1], x[0]))[:k]
-                found += [(qid[j], qrow[j], cid[i], max(-(1 << 63), min(s, (1 << 63) - 1))) for i, s in part]
-                continue
             part = np.zeros(len(alive))
             at = 0
             while at < d and len(alive):
@@ -60,17 +58,24 @@ def _search(k: int, block: int):
                 part += q[at:end, j] @ (c[at:end] if len(alive) == c.shape[1] else c[at:end, alive])
                 at = end
                 if at < d and len(alive) > k:
-                    slack = q_rest[at, j] * c_rest[at, alive] * (1 + 1e-9) + 1e-6
+                    slack = q_rest[at, j] * c_rest[at, alive] * (1 + 1e-9) + rough * q_rest[0, j] * c_rest[0, alive] + (1e-6 if exact else 1e-290)
                     floor = np.partition(part - slack, len(alive) - k)[len(alive) - k]
                     live = part + slack >= floor
                     if live.mean() < 0.75:  # compact
                         alive, part = alive[live], part[live]
             if len(alive) > k:
-                floor = np.partition(part, len(alive) - k)[len(alive) - k]
-                keep = part >= floor
+                slack = rough * q_rest[0, j] * c_rest[0, alive] + (0.0 if exact else 1e-290)
+                floor = np.partition(part - slack, len(alive) - k)[len(alive) - k]
+                keep = part + slack >= floor
                 alive, part = alive[keep], part[keep]
-            best = np.lexsort((alive, -part))[:k]
-            found += [(qid[j], qrow[j], cid[i], int(s)) for i, s in zip(alive[best], part[best], strict=True)]
+            if exact:
+                best = np.lexsort((alive, -part))[:k]
+                found += [(qid[j], qrow[j], cid[i], int(s)) for i, s in zip(alive[best], part[best], strict=True)]
+            else:  # the few that are left, in whole numbers
+                v = [int(x) for x in whole_q[:, j]]
+                score = [sum(a * int(b) for a, b in zip(v, whole_c[:, i], strict=True)) for i in alive]
+                told = sorted(zip(alive, score, strict=True), key=lambda x: (-x[1], x[0]))[:k]
+                found += [(qid[j], qrow[j], cid[i], max(-(1 << 63), min(s, (1 << 63) - 1))) for i, s in told]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*found, strict=True), [f.type for f in _OUT], strict=True)], schema=_OUT) if found else none
 
     return run
@@ -96,9 +101,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     ok = vec.isNotNull() & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.col("vec_id").isNotNull()
     rows = vectors.where(ok).select(F.col("vec_id").cast("long"), F.transform(vec, lambda x: F.floor(x * F.lit(scale)).cast("double")).alias("v"))
     rows, _ = materialise(rows.withColumn("row", F.xxhash64("vec_id", "v")), "vectors")
-    n = rows.count()
-    q_blocks, c_blocks = max(1, math.ceil(n / every / QUERY_BLOCK)), max(1, math.ceil(n / CANDIDATE_BLOCK))
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "row"])
+    asked = F.col("vec_id") % every == 0
+    queries = rows.where(asked).dropDuplicates(["vec_id", "row"])
+    q_blocks, c_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK)), max(1, math.ceil(rows.count() / CANDIDATE_BLOCK))
     queries = queries.withColumn("qb", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(q_blocks)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
     spread = F.xxhash64("row", F.monotonically_increasing_id(), F.lit(2))  # copies of a vector go to many blocks
     candidates = rows.withColumn("cb", F.pmod(spread, F.lit(c_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
