@@ -12,42 +12,52 @@ from ._shared import table
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five candidates of the highest integer inner product for every vector whose id is divisible by 50."""
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token shards of all documents, written, indexed and read back by key."""
     return tokenbin.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document, learnt from labelled rows that are not held out."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of all conversations with its recovered role, rendered."""
     return chat.format_turns(table(spark, sf_dir, "conversations"))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document under a mixture in which no source is read more than twice."""
     return mixing.mix(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
     return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class and number of links of every document."""
     return neardup.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document contains."""
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of every document."""
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -93,6 +103,7 @@ def _op7() -> str:
     found = " union all ".join(
         f"select rid, doc_id, '{k}' as kind, regexp_extract_all(text, {quoted(p)}, 0) as h, string_split_regex(text, {quoted(p)}) as g, {quoted(p)} as p, {n} as grp, {least} as least from t where regexp_matches(text, {quoted(p)})" for k, p, n, least in kinds
     )
+    near = lambda c: f"(coalesce(max(case when {c} then e end) over behind >= s - {secrets.SCOPE}, false) or coalesce(min(case when {c} then s end) over ahead <= e + {secrets.SCOPE}, false))"
     number = " ".join(f"when '{k}' then {i}" for i, k in enumerate(secrets.KINDS))
     group = "length(case grp when 2 then case kind when 'assign' then regexp_extract(h[i], {a}, 2) else regexp_extract(h[i], {b}, 2) end else h[i] end)".format(a=quoted(secrets.ASSIGN), b=quoted(secrets.IDENTITY))
     return f"""
@@ -101,11 +112,9 @@ f as ({found}),
 c as (select rid, doc_id, kind, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0))::bigint as s, length(h[i]) as n, {group} >= least as ok
   from (select *, unnest(range(1, len(h) + 1)) as i from f)),
 e as (select rid, s, s + n as e, case when kind = 'assign' and not ok then 'weak' else kind end as kind from c where ok or kind = 'assign'),
-w as (select *, kind in ('assign', 'access', 'hex') as base,
-    bool_or(kind in ('assign', 'hex', 'weak')) over near as secret, bool_or(kind in ('access', 'ident')) over near as ident, bool_or(kind = 'endpoint') over near as endpoint,
-    coalesce(max(case when kind in ('assign', 'access', 'hex') then e end) over (partition by rid order by s range between unbounded preceding and current row) > s, false)
-      or coalesce(min(case when kind in ('assign', 'access', 'hex') then s end) over (partition by rid order by s range between current row and unbounded following) < e, false) as covered
-  from e window near as (partition by rid order by s range between {secrets.SCOPE} preceding and {secrets.SCOPE} following)),
+w as (select *, kind in ('assign', 'access', 'hex') as base, {near("kind in ('assign', 'hex', 'weak')")} as secret, {near("kind in ('access', 'ident')")} as ident, {near("kind = 'endpoint'")} as endpoint,
+    coalesce(max(case when kind in ('assign', 'access', 'hex') then e end) over behind > s, false) or coalesce(min(case when kind in ('assign', 'access', 'hex') then s end) over ahead < e, false) as covered
+  from e window behind as (partition by rid order by s range between unbounded preceding and current row), ahead as (partition by rid order by s range between current row and unbounded following)),
 k as (select rid, s, e, kind, base, case kind {number} end as number from w where base or (not covered and case kind when 'weak' then ident or endpoint when 'ident' then secret else secret and ident end)),
 r as (select rid, count_if(kind = 'assign') as n_assign, count_if(kind = 'access') as n_access, count_if(kind = 'hex') as n_hex, string_agg(concat_ws(':', kind, s, e), ',' order by s, number, e) filter (where base) as b,
     string_agg(concat_ws(':', kind, s, e), ',' order by s, number, e) as spans, count_if(not base) as n_linked from k group by rid)

@@ -19,27 +19,16 @@ KINDS = ("assign", "access", "hex", "weak", "ident", "endpoint")
 
 
 def _matches(text: Column, pattern: str, kind: str, group: int, least: int) -> Column:
-    """array<struct<s, e, kind, ok>> of the matches, leftmost and not overlapping; ok: the group has the least length.
+    """array<struct<kind, pos, gap, len, ok>> of the matches, leftmost and not overlapping; ok: the group has the least length.
 
     The pieces between the matches and the matches themselves, both in order, give the places.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     spots = F.transform(
         F.arrays_zip(hits.alias("hit"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("gap")),
-        lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("len"), (F.length(F.regexp_extract(x["hit"], pattern, group)) >= least).alias("ok")),
+        lambda x, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("pos"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("len"), (F.length(F.regexp_extract(x["hit"], pattern, group)) >= least).alias("ok")),
     )
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<s:int,e:int,kind:int,ok:boolean>>").alias("out"))
-    k = F.lit(KINDS.index(kind))
-    summed = F.aggregate(
-        spots,
-        start,
-        lambda acc, x: F.struct(
-            (acc["end"] + x["gap"] + x["len"]).alias("end"),
-            F.concat(acc["out"], F.array(F.struct((acc["end"] + x["gap"]).alias("s"), (acc["end"] + x["gap"] + x["len"]).alias("e"), k.alias("kind"), x["ok"].alias("ok")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), summed).otherwise(F.array().cast("array<struct<s:int,e:int,kind:int,ok:boolean>>"))
+    return F.when(text.rlike(pattern), spots).otherwise(F.array().cast("array<struct<kind:int,pos:int,gap:int,len:int,ok:boolean>>"))
 
 
 def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -47,35 +36,39 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     Base spans: assignments of six characters or more, access identifiers of twenty, hexadecimal runs
     of 24. Weak parts are assignments of fewer characters (weak), account names (ident) and endpoint
-    addresses (endpoint). Parts of a text are joined to those whose starts lie within scope
-    characters of theirs: a weak secret is reported if an identifier or an endpoint is near, an
-    identifier if a secret is near, an endpoint if both are near. Base spans count as parts (access
-    as identifier, assign and hex as secrets); weak parts that overlap a base span go.
+    addresses (endpoint). Parts of a text are joined to those that begin at most scope characters
+    after their end, or end at most scope before their start: a weak secret is reported if an
+    identifier or an endpoint is near, an identifier if a secret is near, an endpoint if both are
+    near. Base spans count as parts (access as identifier, assign and hex as secrets); weak parts
+    that overlap a base span go.
 
     spans: kind:start:end (code points, end exclusive) by start, then kind, joined by commas.
-    Null texts are empty; a text without spans has an empty string. Repeated rows and null ids stay,
-    each row for itself; other columns are ignored; an empty table gives an empty table.
+    Null texts are empty; a text without spans has an empty string. Long texts are scanned whole.
+    Repeated rows and null ids stay, each row for itself; other columns are ignored; an empty table
+    gives an empty table.
 
-    The join is one window over the parts of each row, ordered by start with a range frame, so its
-    cost grows with the parts and not with their pairs; rows go by a row number of the scan.
+    The interval join is two running frames over the parts of each row: the farthest end of a kind
+    among the parts up to one, and, read backwards, the nearest start from it on. So the cost grows
+    with the parts and not with their pairs; rows go by a row number of the scan.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), text.alias("text"))
-    assigned = _matches(F.col("text"), ASSIGN, "assign", 2, 6)
-    found = rows.select("rid", "doc_id", assigned.alias("a"), _matches(F.col("text"), ACCESS, "access", 0, 20).alias("b"), _matches(F.col("text"), HEX, "hex", 0, 24).alias("c"), _matches(F.col("text"), IDENTITY, "ident", 2, 2).alias("i"), _matches(F.col("text"), ENDPOINT, "endpoint", 0, 8).alias("p"))
-    failed = F.transform(F.filter("a", lambda x: ~x["ok"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(KINDS.index("weak")).alias("kind"), F.lit(True).alias("ok")))
-    parts = F.concat(F.filter("a", lambda x: x["ok"]), "b", "c", failed, F.filter("i", lambda x: x["ok"]), "p")
-    each = found.select("rid", "doc_id", F.explode_outer(parts).alias("x")).select("rid", "doc_id", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.kind").alias("kind"))
+    hits = F.concat(*[_matches(F.col("text"), p, k, g, n) for k, p, g, n in (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24), ("ident", IDENTITY, 2, 2), ("endpoint", ENDPOINT, 0, 8))])
+    found = rows.select("rid", "doc_id", F.explode_outer(hits).alias("x")).select("rid", "doc_id", "x.*").repartition("rid")
+    of_kind = Window.partitionBy("rid", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     is_kind = lambda *names: F.col("kind").isin(*[KINDS.index(n) for n in names])
+    each = found.withColumn("e", F.sum(F.col("gap") + F.col("len")).over(of_kind).cast("int")).withColumn("s", F.col("e") - F.col("len"))
+    each = each.withColumn("kind", F.when(is_kind("assign") & ~F.col("ok"), KINDS.index("weak")).when(F.col("ok") | is_kind("endpoint", "access", "hex"), F.col("kind")))
     base = is_kind("assign", "access", "hex")
-    order = Window.partitionBy("rid").orderBy("s")
-    near = order.rangeBetween(-scope, scope)
-    behind, ahead = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(0, Window.unboundedFollowing)
-    has = lambda c: F.max(F.when(c, 1).otherwise(0)).over(near) == 1
+    behind = Window.partitionBy("rid").orderBy("s").rangeBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("rid").orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.max(F.when(c, F.col("e"))).over(behind)
+    after = lambda c: F.min(F.when(c, F.col("s"))).over(ahead)
+    near = lambda c: F.coalesce(last(c) >= F.col("s") - scope, F.lit(False)) | F.coalesce(after(c) <= F.col("e") + scope, F.lit(False))
     joined = each.select(
         "rid", "doc_id", "s", "e", "kind", base.alias("base"),
-        has(is_kind("assign", "hex", "weak")).alias("secret"), has(is_kind("access", "ident")).alias("ident"), has(is_kind("endpoint")).alias("endpoint"),
-        (F.coalesce(F.max(F.when(base, F.col("e"))).over(behind) > F.col("s"), F.lit(False)) | F.coalesce(F.min(F.when(base, F.col("s"))).over(ahead) < F.col("e"), F.lit(False))).alias("covered"),
+        near(is_kind("assign", "hex", "weak")).alias("secret"), near(is_kind("access", "ident")).alias("ident"), near(is_kind("endpoint")).alias("endpoint"),
+        (F.coalesce(last(base) > F.col("s"), F.lit(False)) | F.coalesce(after(base) < F.col("e"), F.lit(False))).alias("covered"),
     )
     linked = F.when(F.col("base"), True).when(F.col("covered"), False).when(is_kind("weak"), F.col("ident") | F.col("endpoint")).when(is_kind("ident"), F.col("secret")).when(is_kind("endpoint"), F.col("secret") & F.col("ident")).otherwise(False)
     told = joined.withColumn("keep", F.coalesce(linked, F.lit(False)))
