@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialise, mix64, shingle_hashes, slices, small_batches, unused, word_hashes
+from ._shared import discard, materialise, mix64, shingle_hashes, slices, small_batches, unused, word_hashes
 from .neardup import BROADCAST_ROWS, distinct_shingles
 
 BLOCK_SHINGLES = 2_000_000
@@ -45,8 +45,9 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, threshold
     partition needs for a certain hit at the threshold (with fewer than a fifth missing, one of the
     least fifth is there). Documents look each of their shingles up in that sketch index, so a long
     document needs no sketch of its own, in which a short item would vanish; hits are verified on
-    the whole sets. The index goes to the executors in blocks of at most BLOCK_SHINGLES shingles
-    (16 MB); more items take more passes.
+    the whole sets. The index goes to the executors in blocks of about BLOCK_SHINGLES shingles
+    (16 MB). More items take more passes, one block after the other, each written before the next
+    block is read, so driver and executors hold one block at a time.
 
     Null, empty and wordless texts neither contain nor are contained. An item of fewer words than
     width is one shingle of all its words, contained only in a text of just these words. Repeated
@@ -54,21 +55,26 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, threshold
     """
     spark = docs.sparkSession
     small_batches(spark)
-    sets = item_sets(items, width)
+    sets, path = materialise(item_sets(items, width).groupBy("item_id", "n", "sh").agg(F.count("*").alias("copies")), "items")
     total = sets.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_SHINGLES))
     passes = []
     for block in range(blocks):
-        rows = sets.where(F.pmod(F.xxhash64("item_id", "sh"), F.lit(blocks)) == block).collect()
-        held = spark.sparkContext.broadcast(([r.item_id for r in rows], [bytes(r.sh) for r in rows]))
-        passes.append(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_search(held, width, threshold), "doc_id long, item_id long, n_shingles long, n_shared long"))
-    found = reduce(DataFrame.unionByName, passes)
-    return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+        rows = sets.where(F.pmod(F.xxhash64("item_id", "sh"), F.lit(blocks)) == block).collect()  # a block
+        held = spark.sparkContext.broadcast(([r.item_id for r in rows], [bytes(r.sh) for r in rows], [r.copies for r in rows]))
+        found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_search(held, width, threshold), "doc_id long, item_id long, n_shingles long, n_shared long, copies long")
+        if blocks > 1:
+            found, _ = materialise(found, "contained")
+            held.unpersist()
+        passes.append(found)
+    discard(spark, path)
+    each = reduce(DataFrame.unionByName, passes).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
 def _search(held, width: int, threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, raw = held.value
+        ids, raw, copies = held.value
         if not ids:
             return
         full = [np.frombuffer(x, dtype=_U) for x in raw]
@@ -100,9 +106,9 @@ def _search(held, width: int, threshold: float):
                     place = np.minimum(np.searchsorted(have, x), len(have) - 1)
                     shared = int((have[place] == x).sum())
                     if shared + 1e-9 >= threshold * len(x):
-                        out.append((names[d], ids[i], len(x), shared))
+                        out.append((names[d], ids[i], len(x), shared, copies[i]))
             if out:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "item_id", "n_shingles", "n_shared"])
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "item_id", "n_shingles", "n_shared", "copies"])
 
     return run
 
