@@ -18,6 +18,7 @@ TARGET_RECALL = 0.99999
 SMALL_SETS = 64
 UNIT_CLASSES, UNIT_SHINGLES = 512, 600_000
 BROADCAST_ROWS = 200_000
+HOT_COPIES = 1000
 CACHED = 1 << 16
 _U, _W = np.uint64, np.uint32
 _OUT = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.binary()), ("keys", pa.list_(pa.int64())), ("deep", pa.list_(pa.int32()))])
@@ -261,7 +262,14 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     least = named.groupBy("comp").agg(F.min("rep").alias("least"))
     info = slim.join(named.join(least, "comp").select("cls", "least"), "cls", "left").join(links, "cls", "left")
     info = info.select("cls", F.coalesce("least", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = sketched.select("doc_id", "cls").join(info, "cls", "left").select("doc_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    hot = info.join(slim.where(F.col("copies") >= HOT_COPIES).select("cls"), "cls", "left_semi").withColumnsRenamed({"class_id": "hot_id", "n_links": "hot_links"})
+    if hot.count() <= BROADCAST_ROWS:  # rows of a text of many copies stay where they are
+        seen = sketched.select("doc_id", "cls").join(F.broadcast(hot), "cls", "left")
+        cold = seen.where("hot_links is null").select("doc_id", "cls").join(info, "cls", "left")
+        told = cold.unionByName(seen.where("hot_links is not null").select("doc_id", "cls", F.col("hot_id").alias("class_id"), F.col("hot_links").alias("n_links")))
+    else:
+        told = sketched.select("doc_id", "cls").join(info, "cls", "left")
+    out = told.select("doc_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     out, _ = materialise(out, "classed")
     discard(spark, sketch_path, class_path, group_path, placed_path, near_path, dealt_path, found_path, joined_path)
     return out

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import re
 import shutil
+import time
 import zlib
 from collections import Counter
 
@@ -117,6 +118,14 @@ def test_containment(spark, documents, sf, odd):
     assert decontam.without_items(odd, few).count() == odd.count() - 3
 
 
+def test_containment_in_blocks(spark, documents, sf, odd, monkeypatch):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = items.union(items.limit(5))
+    want = Counter(map(tuple, decontam.contained_items(documents, items).collect()))
+    monkeypatch.setattr(decontam, "BLOCK_SHINGLES", 150)
+    assert Counter(map(tuple, decontam.contained_items(documents, items).collect())) == want and max(want.values()) >= 1
+
+
 @pytest.mark.parametrize("n", range(1, 60))
 def test_sketch_holds_a_shared_shingle(n):
     missing = n - int(np.ceil(0.8 * n - 1e-9))
@@ -231,6 +240,17 @@ def test_top_k_odd(spark, monkeypatch):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1e5, 1e6, 1e150])
+def test_top_k_of_large_numbers(spark, scale):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=20) * (scale if i % 7 == 0 else 1.0)]) for i in range(400)] + [(400 + i, [scale] * 20) for i in range(9)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    clip = lambda x: max(-(1 << 63), min(x, (1 << 63) - 1))
+    want = Counter({(q, r, v, clip(s)): n for (q, r, v, s), n in brute_top(rows).items()})
+    key = lambda c: sorted((q, s) for q, _, _, s in c)
+    assert key(map(tuple, got.collect())) == key(want) and (scale > 1e7 or Counter(map(tuple, got.collect())) == want)
+
+
 def spans(text):
     text = text or ""
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -250,6 +270,23 @@ def test_secrets(spark, documents, odd):
     assert secrets.secret_spans(odd.limit(0)).count() == 0
 
 
+def test_secrets_link_by_the_gap_between_parts(spark):
+    url = "https://db.example.com/" + "p" * 240
+    rows = [(1, url + " token=ab"), (3, "token=ab" + " " * 201 + "https://db.example.com/x"), (4, "token=ab" + " " * 200 + "https://db.example.com/x user=bob")]
+    got = {r.doc_id: r.spans for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    weak = lambda a: f"weak:{a}:{a + 8}"
+    assert got[1] == weak(len(url) + 1) and got[3] == "" and got[4].startswith(weak(0) + ",endpoint:208:")
+
+
+def test_secrets_of_many_hits_and_long_texts(spark):
+    n = 40_000
+    text = " ".join("0123456789abcdef01234567" for _ in range(n)) + " lorem ipsum" * 100_000
+    began = time.time()
+    row = secrets.secret_spans(spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string")).where("doc_id = 1").first()
+    assert row.n_hex == n and row.base_sha256 == hashlib.sha256(spans(text).encode()).hexdigest()
+    assert time.time() - began < 60  # the former running concatenation took 13 s for half of this and grew with its square
+
+
 def test_language(documents, odd):
     got = {r.doc_id: r for r in langid.identify(documents, PIECES).collect()}
     held = [(r.lang, got[r.doc_id]) for r in documents.collect() if got[r.doc_id].held_out]
@@ -272,6 +309,46 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(model.log_words(["ab" * 5000])).all()
 
 
+def brute_log(word, probs, k):
+    """Log of the sum over all ways to cut a marked word into pieces, single characters included."""
+    w, ways = "▁" + word, [1.0]
+    for j in range(1, len(w) + 1):
+        ways.append(sum(ways[i] * probs.get(w[i:j], probs[None] if j - i == 1 else np.zeros(len(probs[None])))[k] for i in range(j)))
+    return float(np.log(ways[-1]))
+
+
+def test_language_against_brute_force(spark, documents, odd):
+    model = langid.fit(documents, PIECES)
+    assert model.pieces.longest > 12 and len(model.pieces.names) > 20_000
+    probs = dict(zip(model.pieces.names, model.probs)) | {None: model.probs[-1]}
+    docs = documents.orderBy("doc_id").limit(40)
+    got = {r.doc_id: r for r in langid.identify(docs, PIECES, model).collect()}
+    for r in docs.collect():
+        words = re.findall(r"[0-9a-z_\x80-\U0010ffff]+", (r.text or "").lower())
+        if not words or not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        kept = [w for w in words if len(w) < 40]
+        known = {w: [brute_log(w, probs, k) for k in range(len(model.langs))] for w in set(kept)}
+        logs = model.log_words(list(known))
+        assert np.allclose(logs, list(known.values()), rtol=1e-9)
+        if len(kept) == len(words):
+            total = np.sum([known[w] for w in words], axis=0)
+            assert got[r.doc_id].lang_pred == model.langs[int(total.argmax())]
+            assert abs(got[r.doc_id].score - 1 / np.exp(total - total.max()).sum()) < 1e-6
+
+
+def test_language_of_long_texts_and_many_languages(spark, monkeypatch):
+    long = " ".join(f"mot{i} phrase" for i in range(120_000))  # over a megabyte
+    rows = [(i, "der hund und die katze", "de") for i in range(8)] + [(i, "le chien et le chat", "fr") for i in range(8, 16)] + [(20, "le chien " + long, "fr"), (21, "x" * 300_000, "de")] + [(3, "der hund", "de")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, PIECES).collect()}
+    assert got[0] == "de" and got[9] == "fr" and got[20] == "fr"
+    monkeypatch.setattr(langid, "LANGS", 1)
+    with pytest.raises(ValueError):
+        langid.fit(df, PIECES)
+
+
 def test_toxicity(spark, odd):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -332,42 +409,70 @@ def test_mixing_counts_tokens(documents):
     assert rows == {r.doc_id: len(lib.encode(r.text or "", add_special_tokens=False)) for r in documents.collect()}
 
 
-def brute_roles(turns, logs):
-    score, back = None, []
-    for given, marked, shape in turns:
-        e = chat._line(logs, given, marked, shape)
-        if score is None:
-            score = chat._START + e
-        else:
-            step = score[:, None] + chat._STEP
-            back.append(step.argmax(axis=0))
-            score = step.max(axis=0) + e
-    path = [int(score.argmax())]
-    for b in reversed(back):
-        path.append(int(b[path[-1]]))
-    return path[::-1]
+def brute_roles(lines, m):
+    """(score, path) of the likeliest path over the whole conversation, written out."""
+    best = {k: (float(m.start[k]), [k]) for k in range(3)}
+    for n, (given, marked, shape) in enumerate(lines):
+        seen = [float(m.shape[k, shape]) + (float(m.given[k, given]) if given >= 0 else 0.0) + (float(m.marked[k, marked]) if marked >= 0 else 0.0) for k in range(3)]
+        if n:
+            best = {k: max(((s + float(m.step[p[-1], k]), [*p, k]) for s, p in best.values()), key=lambda x: x[0]) for k in range(3)}
+        best = {k: (s + seen[k], p) for k, (s, p) in best.items()}
+    return max(best.values(), key=lambda x: x[0])
+
+
+def path_score(path, lines, m):
+    out = float(m.start[path[0]])
+    for n, (k, (given, marked, shape)) in enumerate(zip(path, lines, strict=True)):
+        out += (float(m.step[path[n - 1], k]) if n else 0.0) + float(m.shape[k, shape]) + (float(m.given[k, given]) if given >= 0 else 0.0) + (float(m.marked[k, marked]) if marked >= 0 else 0.0)
+    return out
 
 
 def test_chat(spark, sf, monkeypatch):
     df = spark.read.parquet(f"{sf}/conversations.parquet")
     got = chat.format_turns(df).collect()
-    assert Counter((r.conv_id, r.turn, r.role) for r in got) == Counter((r.conv_id, r.turn, r.role) for r in df.collect())
+    assert Counter((r.conv_id, r.turn) for r in got if r.line == 0) == Counter((r.conv_id, r.turn) for r in df.collect())
+    assert np.mean([r.role == r.given_role for r in got if r.given_role in chat.ROLES]) > 0.98
     hidden = df.withColumn("role", F.when((F.col("turn") % 3 == 1) | F.col("turn").isNull(), None).otherwise(F.col("role")))
     monkeypatch.setattr(chat, "CHUNK", 3)
-    features = chat._features(hidden)
-    logs = chat._emissions(features)
+    rows = chat._features(hidden).orderBy("conv_id", "turn", "role", "h", "line").collect()
+    model = chat.fit(chat._features(df).withColumn("chunk", F.coalesce(F.col("conv_id"), F.lit(-1))))
+    told = {}
+    for r in chat.format_turns(hidden, model).collect():
+        told.setdefault(r.conv_id, []).append((r.turn is not None, r.turn, r.given_role is not None, r.given_role or "", r.line, chat.ROLES.index(r.role)))
     convs = {}
-    for r in features.orderBy("conv_id", "turn", "role", "h").collect():
-        convs.setdefault(r.conv_id, []).append(r)
-    want = Counter((c, r.turn, chat.ROLES[k]) for c, rows in convs.items() for r, k in zip(rows, brute_roles([(r.given, r.marked, r.shape) for r in rows], logs)))
-    assert Counter((r.conv_id, r.turn, r.role) for r in chat.format_turns(hidden).collect()) == want
+    for r in rows:
+        convs.setdefault(r.conv_id, []).append((r.given, r.marked, r.shape))
+    for c, lines in convs.items():
+        best, path = brute_roles(lines, model)
+        assert abs(path_score(path, lines, model) - best) < 1e-9
+        ours = [x[-1] for x in sorted(told[c], key=lambda x: (x[0], x[1] or 0, x[2], x[3], x[4]))]
+        if len({(x[1], x[3]) for x in told[c]}) == len(lines):  # no ties in the order
+            assert abs(path_score(ours, lines, model) - best) < 1e-6
+        else:
+            assert len(ours) == len(lines)
+
+
+def test_chat_recovers_masked_roles(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").where("role in ('system', 'user', 'assistant')")
+    mask = F.xxhash64("conv_id", "turn", F.lit(1)) % 2 == 0
+    got = chat.format_turns(df.withColumn("role", F.when(~mask, F.col("role"))))
+    both = got.join(df.groupBy("conv_id", "turn").agg(F.min("role").alias("truth"), F.max("role").alias("other")).where("truth = other"), ["conv_id", "turn"]).where("given_role is null and line = 0")
+    right = both.agg(F.avg((F.col("role") == F.col("truth")).cast("int"))).first()[0]
+    assert right > 0.9
 
 
 def test_chat_odd(spark):
-    df = spark.createDataFrame([(1, 0, "weird", "User: hi <|x|>?", 1), (1, 1, None, "Assistant: hello", 1), (None, None, None, None, 1), (1, 1, None, "Assistant: hello", 1), (2, 0, "system", "", 1)], "conv_id long, turn long, role string, text string, chunk int")
+    df = spark.createDataFrame([(1, 0, "weird", "User: hi <|x|>?", 1), (1, 1, None, "Assistant: hello", 1), (None, None, None, None, 1), (1, 1, None, "Assistant: hello", 1), (2, 0, "system", "", 1), (3, 0, None, "User: one\nmore of it\nAssistant: two\n  Human: three?", 1)], "conv_id long, turn long, role string, text string, chunk int")
     rows = chat.format_turns(df).collect()
-    assert len(rows) == 5
+    assert len(rows) == 8
     first = next(r for r in rows if r.conv_id == 1 and r.turn == 0)
     assert first.rendered == "<|user|>\nhi <\\|x|>?<|end|>\n" and first.given_role == "weird"
     assert next(r for r in rows if r.conv_id == 1 and r.turn == 1).rendered == "<|assistant|>\nhello<|end|>\n"
+    assert [r.rendered for r in sorted(rows, key=lambda r: r.line) if r.conv_id == 3] == ["<|user|>\none\nmore of it<|end|>\n", "<|assistant|>\ntwo<|end|>\n", "<|user|>\nthree?<|end|>\n"]
     assert chat.format_turns(df.limit(0)).count() == 0
+
+
+def test_chat_of_one_number(spark, monkeypatch):
+    monkeypatch.setattr(chat, "CHUNK", 7)
+    df = spark.createDataFrame([(1, None if i % 2 else 4, "user" if i % 3 else None, f"text {i}") for i in range(200)], "conv_id long, turn long, role string, text string")
+    assert chat.format_turns(df).count() == 200
