@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -11,14 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import held_out, materialise, slices, small_batches, word_spans
+from ._shared import discard, held_out, materialise, slices, small_batches, word_spans
 
 WINDOW_WORDS = 8
 SAMPLE = {1: 4000, 0: 6000}
-DICTIONARY_BYTES = 65_536
-TOXIC_WORDS = 3000
-LEAST_EVIDENCE = 3.0
-LEAST_LIFT = 4.0
+SAMPLE_WORDS = 1000
+ORDINARY_BYTES, TOXIC_BYTES = 1 << 20, 20 << 10
+TABLE_LOG = 20
 THRESHOLD = 0.3
 MARK = b" \x01\x02"
 GAINS = (2, 3, 4, 5, 6)
@@ -27,10 +25,10 @@ _FEATURES = ("windows", *(f"gain_{g}" for g in GAINS), "total", "most")
 
 @dataclass
 class Dictionaries:
-    """Raw contents: ordinary text, and toxic words set before the same ordinary text.
+    """What zstandard trained on ordinary and on toxic text.
 
-    As the ordinary part lies at the same distance in both, a window compresses to different
-    lengths only where it matches toxic text.
+    Windows are compressed with the ordinary dictionary, and with the toxic one set before it. As
+    the ordinary part lies at the same distance in both, lengths differ only where toxic text matches.
     """
 
     ordinary: bytes
@@ -49,7 +47,8 @@ class Dictionaries:
 
         if self._made is None:
             size = max(15, (len(self.toxic) + len(self.ordinary)).bit_length() + 1)
-            p = z.ZstdCompressionParameters(window_log=size, chain_log=size, hash_log=size, search_log=4, min_match=6, target_length=32, strategy=z.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
+            log = min(size, TABLE_LOG)
+            p = z.ZstdCompressionParameters(window_log=size, chain_log=log, hash_log=log, search_log=4, min_match=6, target_length=32, strategy=z.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
             made = []
             for x in (self.ordinary, self.toxic + self.ordinary):
                 d = z.ZstdCompressionDict(x, dict_type=z.DICT_TYPE_RAWCONTENT)
@@ -79,10 +78,6 @@ def _marked(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return out, first, last
 
 
-def _mark(text: str) -> bytes:
-    return b"".join(MARK + w for w in re.findall(rb"[0-9A-Za-z_\x80-\xff]+", text.encode()))
-
-
 def _windows(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(offset and length of each window of WINDOW_WORDS words, number of windows of each text)."""
     counts = np.diff(bounds)
@@ -140,32 +135,20 @@ def _logistic(a: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def _dictionaries(sample: DataFrame, words: DataFrame, fold: int | None) -> Dictionaries:
-    """From the rows outside fold, or all rows."""
+def train(samples: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary of what samples have in common; their beginnings, where they are too few to train on."""
     import zstandard as z
 
-    ours = F.lit(True) if fold is None else F.col("fold") != fold
-    n = {r["toxic"]: r["count"] for r in sample.where(ours).groupBy("toxic").count().collect()}
-    ratio = max(1, n.get(1, 0)) / max(1, n.get(0, 0))
-    counts = words.where(ours).groupBy("word").agg(F.sum(F.col("toxic").cast("double")).alias("t"), F.sum((1 - F.col("toxic")).cast("double")).alias("o"))
-    z_score = (F.col("t") - F.col("o") * ratio) / F.sqrt(F.col("t") + F.col("o") * ratio * ratio + 1)
-    picked = counts.withColumn("z", z_score).where((F.col("z") >= LEAST_EVIDENCE) & (F.col("t") >= LEAST_LIFT * F.col("o") * ratio)).orderBy(F.desc("z"), F.desc(F.length("word")), "word").limit(TOXIC_WORDS).collect()
-    kept: list[str] = []
-    begun: set[str] = set()  # all beginnings of what is kept
-    for r in picked:  # a word that begins as another, or begins another, stands for both
-        w = r["word"]
-        if w not in begun and not any(w[:k] in kept for k in range(4, len(w))):
-            kept.append(w)
-            begun.update(w[:k] for k in range(1, len(w) + 1))
-    toxic = b"".join(MARK + w.encode() for w in reversed(kept)) + MARK
-    from_ordinary = sample.where(ours & (F.col("toxic") == 0)).orderBy("h").limit(3000)
-    at = 1 + F.pmod(F.col("h"), F.greatest(F.length("text") - 600, F.lit(1)))
-    pieces = [_mark(r[0]) for r in from_ordinary.select(F.lower(F.col("text").substr(at.cast("int"), F.lit(600)))).collect() if r[0]]
     try:
-        ordinary = z.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
-    except z.ZstdError:  # too little text to train on
-        ordinary = b" ".join(pieces)[:DICTIONARY_BYTES]
-    return Dictionaries(ordinary or b" " * 8, toxic)
+        return z.train_dictionary(size, samples).as_bytes()
+    except z.ZstdError:
+        return b"".join(samples)[:size]
+
+
+def dictionaries(rows: list[tuple[int, bytes]]) -> Dictionaries:
+    """From (toxic, distinct words after marks) of each document: a document counts once for what it holds."""
+    ordinary = train([x for toxic, x in rows if not toxic and x], ORDINARY_BYTES)
+    return Dictionaries(ordinary or b" " * 8, train([x for toxic, x in rows if toxic and x], TOXIC_BYTES))
 
 
 @dataclass
@@ -181,29 +164,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from labelled rows that are not held out.
 
     The sample is bounded: SAMPLE[1] toxic and SAMPLE[0] ordinary documents, the first by a hash of
-    doc_id; rows that begin alike count once. Toxic dictionary: the TOXIC_WORDS words and beginnings of words (4 to 8 letters) at most whose
-    document counts among toxic rows exceed those among ordinary ones by LEAST_EVIDENCE
-    deviations and LEAST_LIFT times.
-    Ordinary dictionary: trained by zstandard on pieces of ordinary texts. The thresholds are
-    calibrated by a logistic curve over window gains that each half of the sample has under
-    dictionaries of the other half, weighted to the classes' shares among all labelled rows.
+    doc_id, equal texts once (toxic if one is), and of each the SAMPLE_WORDS distinct words at most
+    that come first by a hash. zstandard trains a dictionary on the words of the toxic documents and
+    another on those of the ordinary ones. The thresholds are calibrated by a logistic curve over
+    window gains that each half of the sample has under dictionaries of the other half, weighted to
+    the classes' shares among all labelled rows.
     """
     usable = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     hashed = usable.withColumn("h", F.xxhash64("doc_id", F.lit(11)))
     chosen = hashed.where("toxic = 1").orderBy("h").limit(SAMPLE[1]).union(hashed.where("toxic = 0").orderBy("h").limit(SAMPLE[0]))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").join(F.broadcast(chosen), "doc_id")
-    rows = rows.dropDuplicates(["doc_id"]).withColumn("start", F.xxhash64(F.substring("text", 1, 60))).dropDuplicates(["start"]).drop("start")
-    sample, _ = materialise(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("int")), "toxic-sample")
-    parts = F.flatten(F.transform(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")), lambda w: F.concat(F.array(w), F.transform(F.sequence(F.lit(4), F.lit(8)), lambda n: F.substring(w, F.lit(1), n)))))
-    words = sample.select("fold", "toxic", F.explode(F.array_distinct(parts)).alias("word")).where(F.length("word") >= 4)
-    words, _ = materialise(words, "toxic-words")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").join(F.broadcast(chosen), "doc_id")  # the sample's ids
+    rows = rows.groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text"))
+    rows = rows.groupBy(F.xxhash64("text").alias("same")).agg(F.max("toxic").alias("toxic"), F.min("h").alias("h"), F.min("text").alias("text"))
+    sample, path = materialise(rows.select("h", "toxic", "text", F.pmod(F.xxhash64("h", F.lit(5)), F.lit(2)).cast("int").alias("fold")), "toxic-sample")
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^0-9a-z_\x{80}-\x{10FFFF}]+"), lambda w: w != ""))
+    some = F.slice(F.array_sort(F.transform(words, lambda w: F.struct(F.crc32(w.cast("binary")).alias("c"), w.alias("w")))), 1, SAMPLE_WORDS)
+    held = sample.select("h", "toxic", "fold", F.transform(some, lambda x: x["w"]).alias("words")).orderBy("h").collect()
+    known = [(r["fold"], r["toxic"], b"".join(MARK + w.encode() for w in r["words"])) for r in held]
     got, classes = [], []
     for fold in (0, 1):
-        part = measured(sample.where(F.col("fold") == fold).select("toxic", "text"), _dictionaries(sample, words, fold)).collect()
+        d = dictionaries([(t, x) for f, t, x in known if f != fold])
+        part = measured(sample.where(F.col("fold") == fold).select("toxic", "text"), d).collect()  # numbers for each document of the sample
         got += [[r[c] for c in _FEATURES] for r in part]
         classes += [r["toxic"] for r in part]
-    final = _dictionaries(sample, words, None)
+    discard(docs.sparkSession, path)
+    final = dictionaries([(t, x) for _, t, x in known])
     y = np.array(classes, dtype=float)
     if not len(y) or y.min() == y.max():  # one class only: its share
         w = np.zeros(_design(np.zeros((1, len(_FEATURES)))).shape[1])
@@ -220,7 +206,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
     Each window of WINDOW_WORDS words of the whole text, each word after a mark, is compressed with both dictionaries; the
     bytes that the toxic one saves are counted, and the calibrated curve makes them a score from 0
     to 1. predicted is 1 from THRESHOLD on. Null, empty and wordless texts have the score of a text
-    without windows. Repeated rows and null ids stay (a null id is not held out and not learnt
+    without windows; long texts are scored whole. Repeated rows and null ids stay (a null id is not held out and not learnt
     from); repeated labels of an id count as toxic if one is. Without labels every score is low.
     Other columns are ignored; an empty table gives an empty table.
     """

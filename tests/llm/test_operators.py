@@ -364,6 +364,34 @@ def test_toxicity(spark, odd):
     assert toxicity.toxicity(odd, marks.limit(0)).count() == odd.count() and toxicity.toxicity(odd.limit(0), marks).count() == 0
 
 
+def test_toxicity_against_windows_one_by_one(spark, documents):
+    marked = lambda t: [toxicity.MARK + w for w in re.findall(rb"[0-9a-z_\x80-\xff]+", (t or "").lower().encode())]
+    rows = [(r.doc_id % 3 == 0, b"".join(marked(r.text))) for r in documents.collect()]
+    d = toxicity.dictionaries(rows)
+    assert d.toxic and d.ordinary and d.toxic != d.ordinary[: len(d.toxic)]
+    some = documents.orderBy("doc_id").limit(60)
+    got = {r.doc_id: r for r in toxicity.measured(some.select("doc_id", "text"), d).collect()}
+    for r in some.collect():
+        m = marked(r.text)
+        wins = [b"".join(m[i : i + 8]) for i in range(0, len(m), 8)]
+        gains = []
+        for w in wins:
+            a, b = d.lengths(w, np.array([[0, len(w)]]))
+            gains.append(int(a[0] - b[0]))
+        assert got[r.doc_id].windows == len(wins) and got[r.doc_id].most == max([0, *gains]) and got[r.doc_id].total == sum(g for g in gains if g > 0)
+        assert all(got[r.doc_id][f"gain_{k}"] == sum(g >= k for g in gains) for k in toxicity.GAINS)
+
+
+def test_toxicity_of_long_texts_and_equal_texts(spark):
+    plain = " ".join(f"wort{i % 977} und" for i in range(150_000))  # over a megabyte
+    rows = [(i, f"das ist ein text {i} und noch mehr worte hier {i * 7}") for i in range(400)] + [(400 + i, f"du bist ein schlimmwort{'' if i % 2 else 'er'} und text {i}") for i in range(300)] + [(900, plain), (901, plain + " schlimmwort " * 3), (902, "gleich"), (903, "gleich")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(400 <= i < 700)) for i, _ in rows if i < 900] + [(902, 1), (903, 0)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, marks).collect()}
+    assert np.mean([got[i] for i in range(400, 700)]) > 0.8 and np.mean([got[i] for i in range(400)]) < 0.2
+    assert got[901] > got[900] and got[902] == got[903]
+
+
 def test_mixing(documents, odd):
     rows = mixing.mix(documents, max_repeat=2.0).collect()
     assert len(rows) == documents.count()
