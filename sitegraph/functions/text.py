@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 from ..ship import ship
 
@@ -91,12 +91,59 @@ def brand_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(F.contains(a, b) | F.contains(b, a), 1.0).otherwise(F.greatest(bigram_jaccard(a, b), edit))
 
 
-def operators_match(a: Column, b: Column) -> Column:
-    """Whether two display names mean one company: equal, equal without designators, or one of 3 characters or more inside the other."""
-    strip = lambda s: F.regexp_replace(F.regexp_replace(s, "^(?:株式会社|有限会社)+", ""), "(?:株式会社|有限会社)+$", "")
-    x, y = F.trim(strip(a)), F.trim(strip(b))
+def company_core(name: Column) -> Column:
+    """A display name without the company forms before and behind it."""
+    strip = F.regexp_replace(F.regexp_replace(name, "^(?:株式会社|有限会社)+", ""), "(?:株式会社|有限会社)+$", "")
+    return F.trim(strip)
+
+
+@F.pandas_udf(DoubleType())
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    def one(x: str | None, y: str | None) -> float:
+        x, y = x or "", y or ""
+        if not x and not y:
+            return 100.0
+        row = [0] * (len(y) + 1)  # longest common subsequence
+        for c in x:
+            last = 0
+            for k, d in enumerate(y, 1):
+                last, row[k] = row[k], last + 1 if c == d else max(row[k], row[k - 1])
+        return 200.0 * row[-1] / (len(x) + len(y))
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)])
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """Twice the longest common subsequence over both lengths, in percent."""
+    ship(SparkSession.active())
+    return _ratio(a, b)
+
+
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """The best ratio among the shared words and the shared words with the rest of either side, words sorted."""
+    x, y = F.array_distinct(F.split(F.trim(a), r"\s+")), F.array_distinct(F.split(F.trim(b), r"\s+"))
+    line = lambda w: F.array_join(F.array_sort(w), " ")
+    shared = line(F.array_intersect(x, y))
+    one, two = (F.trim(F.concat_ws(" ", shared, line(F.array_except(p, q)))) for p, q in ((x, y), (y, x)))
+    return F.greatest(F.when(shared != "", F.greatest(ratio(shared, one), ratio(shared, two))).otherwise(0.0), ratio(one, two))
+
+
+#: Fixed value: two names are one from this ratio on.
+ALIKE_RATIO = 88
+
+
+def operators_match(a: Column, b: Column, fuzzy: bool = False) -> Column:
+    """Whether two display names mean one company: equal, equal without company forms, or one of 3 characters or more inside the other.
+
+    With fuzzy, names of 4 characters or more also match by the ratio of their words or cores.
+    """
+    x, y = company_core(a), company_core(b)
     filled = (nz(a) != "") & (nz(b) != "")
-    return filled & ((a == b) | ((x != "") & (x == y)) | ((F.length(a) >= 3) & F.contains(b, a)) | ((F.length(b) >= 3) & F.contains(a, b)))
+    same = (a == b) | ((x != "") & (x == y)) | ((F.length(a) >= 3) & F.contains(b, a)) | ((F.length(b) >= 3) & F.contains(a, b))
+    if fuzzy:
+        cores = (x != "") & (y != "") & (ratio(x, y) >= ALIKE_RATIO)
+        same = same | ((F.length(a) >= 4) & (F.length(b) >= 4) & ((token_set_ratio(a, b) >= ALIKE_RATIO) | cores))
+    return filled & same
 
 
 def sanitize(c: Column | str) -> Column:
@@ -126,27 +173,121 @@ def whole_number(c: Column | str) -> Column:
     return F.coalesce(F.expr(f"try_cast(try_cast(regexp_replace({c if isinstance(c, str) else c._jc.toString()}, '[,\\\\s]', '') as double) as bigint)"), F.lit(0).cast("long"))
 
 
-def brand_variants(c: Column | str) -> Column:
-    """The name, its parts between slashes, what parentheses hold, and the name without parentheses; distinct, in this order."""
+def brand_variants(c: Column | str, aliases: dict[str, str] | None = None) -> Column:
+    """The name, its parts between slashes, what parentheses hold, and the name without parentheses; distinct, in this order.
+
+    A part with another spelling in aliases stands by its main name alone.
+    """
+    if aliases:
+        parts = F.filter(F.transform(F.split(F.trim(nz(c)), "[/／]"), lambda x: F.trim(x)), lambda x: x != "")
+
+        def spread(part: Column) -> Column:
+            main = canonical_brand(part, aliases)
+            inner = F.regexp_extract_all(part, F.lit(r"[(（]([^)）]+)[)）]"), F.lit(1))
+            outer = F.trim(F.regexp_replace(part, r"[(（][^)）]*[)）]", ""))
+            return F.when(main != part, F.array(main)).otherwise(F.concat(F.array(part), inner, F.array(outer)))
+
+        named = F.transform(F.flatten(F.transform(parts, spread)), lambda x: canonical_brand(x, aliases))
+        return F.array_distinct(F.filter(named, lambda x: x != ""))
     s = F.trim(nz(c))
     inner = F.regexp_extract_all(s, F.lit(r"[(（]([^)）]+)[)）]"), F.lit(1))
     outer = F.trim(F.regexp_replace(s, r"[(（][^)）]*[)）]", ""))
     return F.array_distinct(F.filter(F.transform(F.concat(F.array(s), F.split(s, "[/／]"), inner, F.array(outer)), lambda x: F.trim(x)), lambda x: x != ""))
 
 
+#: Words that mark a part of an address as a building, and what marks it as a floor.
+BUILDING_HINTS = ("ビル", "マンション", "タワー", "階", "ハイツ", "コーポ", "プラザ")
+FLOOR = r"^\d+[FB]?F?$|^B\d+F$"
+
+
 def normalize_address(raw: Column | str) -> Column:
     """Comparable form: NFKC, no postal code, no parts that name a building or floor, block marks as hyphens."""
     s = F.regexp_replace(nfkc(F.trim(nz(raw))), r"〒\s*\d{3}-?\d{4}\s*", "")
-    solid = F.filter(F.split(s, r"\s+"), lambda t: (t != "") & ~t.rlike("ビル|マンション|タワー|プラザ|階") & ~t.rlike(r"^B?\d+F$"))
+    solid = F.filter(F.split(s, r"\s+"), lambda t: (t != "") & ~t.rlike("|".join(BUILDING_HINTS)) & ~t.rlike(FLOOR))
     out = F.array_join(solid, "")
     out = F.regexp_replace(out, r"(\d+)丁目", "$1-")
     out = F.regexp_replace(out, r"(\d+)番地?", "$1-")
-    return F.regexp_replace(F.regexp_replace(out, r"(\d+)号$", "$1"), "-+$", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"(\d+)号$", "$1"), "-+$", ""))
+
+
+#: Patterns that no company's name holds.
+GARBAGE = (
+    r"[〒]?\d{3}[-‐]?\d{4}",
+    r"(?:北海道|東京都|大阪府|京都府|(?:.{2,3}県))(?:.{0,10}?)(?:市|区|町|村|丁目|番地)",
+    r"第\d{5,}号",
+    r"\d{5,}\s*(?:号|番)",
+    r"を展開する株式会社$",
+    r"^お客",
+    r"お知らせ\d{4}年",
+    r"採用キャリア採用",
+    r"現在地から探す",
+    r"都道府県から探",
+    r"(?:現在地|都道府県)から探",
+    r"株式会社[^株]{2,}(?:高校生専門|南アルプスガーデン店|柏駅前店|静岡県|愛知県|東京都|大阪府)$",
+    r"本部オフィス",
+    r"関係会社株式会社$",
+)
+#: Companies that turn up beside others without running their stores.
+PORTALS = (
+    "NTTタウンページ株式会社", "株式会社タウンページ",
+    "株式会社ぐるなび", "株式会社カカクコム",
+    "株式会社ゼンリン", "株式会社マピオン",
+    "スターバックスコーヒージャパン株式会社",
+    "株式会社バンダイナムコアミューズメント",
+)
 
 
-#: Name patterns that no company has.
-GARBAGE = (r"[〒]?\d{3}[-‐]?\d{4}", r"第\d{5,}号", r"\d{5,}\s*(?:号|番)", "を展開する株式会社$", "^お客", r"お知らせ\d{4}年", "採用キャリア採用", "(?:現在地|都道府県)から探", "本部オフィス", "関係会社株式会社$")
+def structural_garbage(name: Column | str) -> Column:
+    """Whether a name is empty, a portal's, or holds what no company's name holds."""
+    return (nz(name) == "") | nz(name).rlike("|".join(f"(?:{p})" for p in GARBAGE)) | nz(name).isin(*PORTALS)
 
 
-def structural_garbage(name: Column | str) -> Column:
-    return (nz(name) == "") | nz(name).rlike("|".join(f"(?:{p})" for p in GARBAGE))
+#: Forms of companies that may run a store, and of bodies that don't.
+COMPANY_FORMS = ("株式会社", "有限会社", "合同会社")
+OTHER_BODIES = ("医療法人", "学校法人", "社会福祉法人", "宗教法人", "財団法人", "社団法人", "組合", "連合会", "協議会", "独立行政法人", "国立大学", "公立大学")
+
+
+def may_run_stores(name: Column | str) -> Column:
+    """A company form, and none of the other bodies."""
+    return nz(name).rlike("|".join(COMPANY_FORMS)) & ~nz(name).rlike("|".join(OTHER_BODIES))
+
+
+def japanese_head(c: Column | str) -> Column:
+    """The words before the first one of ASCII characters alone, joined; the first word if there are none."""
+    words = F.split(F.trim(nz(c)), r"[\s　]+")
+    stop = F.array_position(F.transform(words, lambda w: w.rlike(r"^\p{ASCII}+$")), True)
+    kept = F.when(stop == 0, words).when(stop == 1, F.slice(words, 1, 1)).otherwise(F.slice(words, 1, F.greatest(stop - 1, F.lit(1)).cast("int")))
+    return F.array_join(kept, "")
+
+
+def brand_pattern(brands: list[str]) -> str:
+    """Pattern of any of these at the beginning, the longest first, in either case."""
+    return "(?i)^(?:" + "|".join(rf"\Q{b}\E\s*" for b in sorted(brands, key=len, reverse=True)) + ")"
+
+
+def brand_list(c: Column | str, aliases: dict[str, str]) -> Column:
+    """Brands of a joined text, each by its main name and once; X stands for none."""
+    parts = F.filter(F.transform(F.split(nz(c), "[・、,/／]"), lambda x: F.trim(x)), lambda x: (x != "") & (F.upper(x) != "X"))
+    return F.array_distinct(F.transform(parts, lambda x: canonical_brand(x, aliases)))
+
+
+def canonical_brand(c: Column | str, aliases: dict[str, str]) -> Column:
+    """The main name of a brand, by a table of other spellings."""
+    raw = F.trim(nz(c))
+    if not aliases:
+        return raw
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]), raw), raw)
+
+
+def thousand_yen(c: Column | str) -> Column:
+    """Yen of an amount in thousands; 0 for what is none."""
+    return whole_number(c) * 1000
+
+
+def canonical_url(url: Column | str, host: str, home: str) -> Column:
+    """URLs of a host (or below it) as home and the path, with a closing slash and without query; other URLs trimmed."""
+    u = F.trim(nz(url))
+    path = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
+    path = F.when(path == "", "/").when(F.endswith(path, F.lit("/")), path).otherwise(F.concat(path, F.lit("/")))
+    ours = F.contains(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1), F.lit(host))
+    return F.when(ours, F.concat(F.lit(home), path)).otherwise(u)

@@ -35,12 +35,5 @@ def domain_root(url: Column) -> Column:
     return F.regexp_replace(host(url), r"^(?:map|maps|store|stores|shop|m)\.", "www.")
 
 
-def snippets(docs: DataFrame, keyword: str, around: int = 200) -> DataFrame:
-    """doc_id, pos, snippet of the first occurrence of a keyword, with what stands around it."""
-    at = F.instr(F.lower("text"), keyword.lower())
-    start = F.greatest(at - around, F.lit(1))
-    return docs.where(F.contains(F.lower(F.col("text")), F.lit(keyword.lower()))).select("doc_id", at.alias("pos"), F.substring("text", start, F.lit(len(keyword)) + F.least(at - 1, F.lit(around)) + around).alias("snippet"))
-
-
 def evidence_once(rows: DataFrame, prefix: int = 200) -> DataFrame:
     return rows.withColumn("_p", F.substring("snippet", 1, prefix)).dropDuplicates(["doc_id", "_p"]).drop("_p")

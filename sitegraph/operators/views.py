@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_filled, nz
+from ..functions.text import nz
+from .ranks import positioned
 
 MEGA, MEDIUM = 20, 5
 
@@ -24,8 +25,12 @@ def named(os: DataFrame, headquarters: bool = False) -> DataFrame:
     return rows if headquarters else rows.where(nz("operator_type") != "franchisor")
 
 
+def _view() -> list[Column]:
+    return [F.count_distinct("place_id").alias("store_count"), mean("confidence").alias("avg_confidence"), distinct_list("brand").alias("brands"), distinct_list("discovered_via").alias("discovered_via_methods"), F.min("operator_type").alias("operator_type")]
+
+
 def mega_franchisees(os: DataFrame) -> DataFrame:
-    return named(os).groupBy("operator_name").agg(F.count_distinct("place_id").alias("store_count"), mean("confidence").alias("avg_confidence"), distinct_list("brand").alias("brands"), distinct_list("discovered_via").alias("discovered_via_methods"), F.min("operator_type").alias("operator_type"))
+    return named(os).groupBy("operator_name").agg(*_view())
 
 
 def franchisors(os: DataFrame) -> DataFrame:
@@ -37,18 +42,19 @@ def size_class(n: Column) -> Column:
 
 
 def all_franchisees(os: DataFrame) -> DataFrame:
-    out = mega_franchisees(os).join(named(os).groupBy("operator_name").agg(F.max("verification_score").alias("best_verification_score"), F.max("corporate_number").alias("corporate_number")), "operator_name")
-    return out.withColumn("size_class", size_class(F.col("store_count")))
+    """mega_franchisees with the best score, a corporate number and a class of size, in one aggregation."""
+    more = [F.max("verification_score").alias("best_verification_score"), F.max("corporate_number").alias("corporate_number")]
+    return named(os).groupBy("operator_name").agg(*_view(), *more).withColumn("size_class", size_class(F.col("store_count")))
 
 
 def multi_brand(os: DataFrame, strict: bool = False) -> DataFrame:
-    """An operator's stores by brand; strict counts the distinct least places of its brands as total_stores."""
+    """An operator's stores by brand; strict counts the distinct least places of its brands as total_stores.
+
+    os has a row for an operator and place, so its places are counted with its brands, and those under two brands once.
+    """
     per = named(os).groupBy("operator_name", "brand").agg(F.count_distinct("place_id").alias("n"), F.min("place_id").alias("least"), F.max("discovered_via").alias("via"), F.max("corporate_number").alias("corp"), F.min("operator_type").alias("type"))
-    out = per.groupBy("operator_name").agg(F.count_distinct("least").alias("least_places"), F.count("*").alias("brand_count"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("brand", "n"))))).alias("brand_counts_json"), distinct_list("via").alias("discovered_via_methods"), F.max("corp").alias("corporate_number"), F.min("type").alias("operator_type"))
-    if strict:
-        return out.withColumnRenamed("least_places", "total_stores")
-    total = named(os).groupBy("operator_name").agg(F.count_distinct("place_id").alias("total_stores"))
-    return out.drop("least_places").join(total, "operator_name")
+    out = per.groupBy("operator_name").agg(F.count_distinct("least").alias("least_places"), F.sum("n").alias("places"), F.count("*").alias("brand_count"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("brand", "n"))))).alias("brand_counts_json"), distinct_list("via").alias("discovered_via_methods"), F.max("corp").alias("corporate_number"), F.min("type").alias("operator_type"))
+    return out.withColumnRenamed("least_places", "total_stores").drop("places") if strict else out.withColumnRenamed("places", "total_stores").drop("least_places")
 
 
 def legacy_mega(judgements: DataFrame) -> DataFrame:
@@ -112,35 +118,33 @@ def wide(links: DataFrame, brands: list[str]) -> DataFrame:
     names = out.columns[1:]
     total, held = sum((F.col(c) for c in names), F.lit(0)), sum((F.when(F.col(c) > 0, 1).otherwise(0) for c in names), F.lit(0))
     out = out.withColumns({"total": total.cast("long"), "held": held.cast("int")})
-    top = out.orderBy(F.desc("total"), F.desc("held"), "operator_name").limit(200)  # a report of the first 200
-    return top.withColumn("company_priority_rank", F.row_number().over(Window.orderBy(F.desc("total"), F.desc("held"), "operator_name")))
+    return positioned(out, [F.desc("total"), F.desc("held"), F.asc("operator_name")], "company_priority_rank")
 
 
 def fill_rate(links: DataFrame) -> DataFrame:
-    """By brand: the headquarters' total against the sum of its franchisees' greatest counts, with a status and a priority."""
-    per = links.groupBy("brand", "operator_name").agg(
-        F.max(F.when(F.col("operator_type").isin("franchisor", "direct"), F.col("estimated_store_count"))).alias("hq"),
-        F.max(F.when(F.col("operator_type") == "franchisee", F.col("estimated_store_count"))).alias("fr"),
-        F.max(F.when(F.col("operator_type").isin("franchisee", "unknown"), F.col("estimated_store_count"))).alias("cand"),
+    """By brand: the greatest total of its headquarters or direct stores, the sums of what its operators count, with a status and a priority.
+
+    An operator is its corporate number, else its name without blanks; each counts with its greatest
+    franchisee count, and as a candidate with the greater of that and its unknown count.
+    """
+    who = F.coalesce(F.nullif(nz("corporate_number"), F.lit("")), F.regexp_replace(nz("operator_name"), r"[\s　]+", ""))
+    hq = F.col("operator_type").isin("franchisor", "direct")
+    n = F.coalesce("estimated_store_count", F.lit(0))
+    per = links.withColumns({"hq": F.when(hq, n), "who": F.when(hq | (who == ""), None).otherwise(who), "n": n}).groupBy("brand", "who").agg(
+        F.max("hq").alias("hq"), F.max(F.when(F.col("who").isNotNull() & (F.col("operator_type") == "franchisee"), F.col("n"))).alias("fr"),
+        F.max(F.when(F.col("who").isNotNull() & F.col("operator_type").isin("franchisee", "unknown"), F.col("n"))).alias("cand"),
     )
-    out = per.groupBy("brand").agg(F.coalesce(F.max("hq"), F.lit(0)).alias("hq_max"), F.coalesce(F.sum("hq"), F.lit(0)).alias("expected"), F.coalesce(F.sum("fr"), F.lit(0)).alias("franchisee"), F.coalesce(F.sum("cand"), F.lit(0)).alias("candidate"), F.count("fr").alias("n"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = per.groupBy("brand").agg(zero(F.max("hq")).alias("expected"), zero(F.sum("fr")).alias("franchisee"), zero(F.sum("cand")).alias("candidate"), F.count("fr").alias("operators"))
     pct = F.col("franchisee") * 100 / F.col("expected")
-    status = F.when(F.col("expected") <= 0, "no_franchisor_total").when(F.col("n") == 0, "empty").when(pct > 120, "overfilled_review").when(pct < 25, "very_low").when(pct < 50, "low").when(pct < 80, "medium").otherwise("covered")
-    out = out.withColumns({"fill_pct": F.round(F.try_divide(F.col("franchisee") * 100, F.col("expected")), 2), "status": status})
+    status = F.when(F.col("expected") <= 0, "no_franchisor_total").when(F.col("operators") == 0, "empty").when(pct > 120, "overfilled_review").when(pct < 25, "very_low").when(pct < 50, "low").when(pct < 80, "medium").otherwise("covered")
+    out = out.withColumns({"fill_pct": F.round(F.try_divide(F.col("franchisee") * 100, F.nullif(F.col("expected"), F.lit(0))), 1), "status": status})
     low = F.col("status").isin("very_low", "low")
     priority = (
         F.when(F.col("status") == "overfilled_review", "REVIEW_OVERFILL").when(F.col("status") == "no_franchisor_total", "P4_NEED_TOTAL").when((F.col("status") == "empty") & (F.col("expected") >= 100), "P0_FIND_OFFICIAL_LIST")
         .when((F.col("expected") >= 300) & low, "P0_EXPAND").when((F.col("expected") >= 50) & low, "P1_EXPAND").when(F.col("status") == "medium", "P2_EXPAND").otherwise("P3_MONITOR")
     )
-    return out.withColumn("priority", priority).drop("n")
-
-
-def best_links(links: DataFrame, score: list[Column], seq: str) -> DataFrame:
-    """One row for each brand and name key: the highest score, of equal ones the first. Weak rows go before."""
-    weak = (F.col("source") == "pipeline") & (F.col("operator_type") == "unknown") & (F.col("estimated_store_count") <= 1)
-    order = Window.partitionBy("brand", "name_key").orderBy(*[s.desc() for s in score], seq)
-    keyed = links.where(~weak).withColumn("name_key", F.regexp_replace("operator_name", r"\s+", ""))
-    return keyed.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+    return out.withColumn("priority", priority)
 
 
 def brand_index(links: DataFrame) -> DataFrame:
@@ -148,13 +152,5 @@ def brand_index(links: DataFrame) -> DataFrame:
     return out.withColumn("basis", F.when(F.col("verified") == F.col("rows"), "all_verified").when(F.col("verified") > 0, "partly_verified").otherwise("unverified"))
 
 
-def directory(links: DataFrame, registry: DataFrame) -> DataFrame:
-    key = F.when(nz("corporate_number") != "", F.col("corporate_number")).otherwise(F.concat(F.lit("NAME::"), "operator_name"))
-    per = links.withColumn("key", key).groupBy("key", "brand").agg(F.max("estimated_store_count").alias("n"), F.max("operator_name").alias("operator_name"))
-    out = per.groupBy("key").agg(F.max("operator_name").alias("operator_name"), F.sum("n").alias("total_stores"), F.count("*").alias("brand_count"))
-    place = registry.select(F.col("corporate_number").alias("key"), "prefecture")
-    return out.join(place, "key", "left").withColumn("prefecture", first_filled("prefecture"))
-
-
 def quality(total: Column, brands: Column, corp: Column) -> Column:
     return F.when((corp != "") & (total >= 20) & (brands >= 2), "A").when((corp != "") & (total >= 20), "B").when(corp != "", "C").otherwise("D")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import audit, evidence, matching, views, writes
+from ..shared import shared_base
 from ..streaming import events as streams
 from . import domain
 from .domain import DOMAIN_SQL, read
@@ -22,10 +24,17 @@ def query(sql: str | None = None, plain: bool = False, recursive: bool = False):
     """Register a query under its name; sql goes on from the domain tables unless it is plain."""
 
     def put(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            shared_base(spark)
+            return f(spark, sf_dir)
+
+        if f.__name__ in QUERIES:
+            raise ValueError(f"{f.__name__} is registered already")
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql if plain else (DOMAIN_SQL.replace("with arrivals", "with recursive arrivals", 1) if recursive else DOMAIN_SQL) + sql
-        return f
+        return run
 
     return put
 
@@ -139,38 +148,6 @@ def evidence_only_review(s, d):
     return views.evidence_only(_links(s, d).where(F.col("brand").isin(TARGETS)), min_total=3)
 
 
-@query(""", w as (select operator_name, coalesce(max(case when brand = 'Brand#11' then estimated_store_count end), 0) as brand_11, coalesce(max(case when brand = 'Brand#22' then estimated_store_count end), 0) as brand_22, coalesce(max(case when brand = 'Brand#3' then estimated_store_count end), 0) as brand_3, coalesce(max(case when brand = 'Brand#4' then estimated_store_count end), 0) as brand_4 from links group by 1),
-t as (select *, brand_11 + brand_22 + brand_3 + brand_4 as total, (brand_11 > 0)::int + (brand_22 > 0)::int + (brand_3 > 0)::int + (brand_4 > 0)::int as held from w)
-select *, row_number() over (order by total desc, held desc, operator_name) as company_priority_rank from t qualify company_priority_rank <= 200""")
-def master_wide_rows(s, d):
-    return views.wide(_links(s, d), TARGETS)
-
-
-@query(""", p as (select brand, operator_name, max(case when operator_type in ('franchisor', 'direct') then estimated_store_count end) as hq, max(case when operator_type = 'franchisee' then estimated_store_count end) as fr, max(case when operator_type in ('franchisee', 'unknown') then estimated_store_count end) as cand from links group by all),
-f as (select brand, coalesce(max(hq), 0) as hq_max, coalesce(sum(hq), 0)::bigint as expected, coalesce(sum(fr), 0)::bigint as franchisee, coalesce(sum(cand), 0)::bigint as candidate, count(fr) as n from p group by 1),
-g as (select *, case when expected <= 0 then 'no_franchisor_total' when n = 0 then 'empty' when franchisee * 100 / expected > 120 then 'overfilled_review' when franchisee * 100 / expected < 25 then 'very_low' when franchisee * 100 / expected < 50 then 'low' when franchisee * 100 / expected < 80 then 'medium' else 'covered' end as status, round(case when expected <> 0 then franchisee * 100 / expected end, 2) as fill_pct from f)
-select brand, hq_max, expected, franchisee, candidate, fill_pct, status, case when status = 'overfilled_review' then 'REVIEW_OVERFILL' when status = 'no_franchisor_total' then 'P4_NEED_TOTAL' when status = 'empty' and expected >= 100 then 'P0_FIND_OFFICIAL_LIST' when expected >= 300 and status in ('very_low', 'low') then 'P0_EXPAND' when expected >= 50 and status in ('very_low', 'low') then 'P1_EXPAND' when status = 'medium' then 'P2_EXPAND' else 'P3_MONITOR' end as priority from g""")
-def brand_fill_rate(s, d):
-    return views.fill_rate(_links(s, d))
-
-
-@query("""select brand, count(*) as rows, count_if(corporate_number <> '') as verified, sum(estimated_store_count)::bigint as sum_count, max(estimated_store_count) as max_count, arg_min(operator_name, (-estimated_store_count, operator_name)) as largest_operator,
-case when count_if(corporate_number <> '') = count(*) then 'all_verified' when count_if(corporate_number <> '') > 0 then 'partly_verified' else 'unverified' end as basis from links group by 1""")
-def all_brand_index(s, d):
-    return views.brand_index(_links(s, d))
-
-
-@query("""select *, regexp_replace(operator_name, '\\s+', '', 'g') as name_key from links where not (source = 'pipeline' and operator_type = 'unknown' and estimated_store_count <= 1)""")
-def link_best_rows(s, d):
-    return views.best_links(_links(s, d), [F.col("corporate_number") != "", F.col("estimated_store_count")], "operator_name")
-
-
-@query(""", p as (select case when corporate_number <> '' then corporate_number else concat('NAME::', operator_name) end as key, brand, max(estimated_store_count) as n, max(operator_name) as operator_name from links group by all)
-select key, max(operator_name) as operator_name, sum(n)::bigint as total_stores, count(*) as brand_count, coalesce(any_value(r.prefecture), '') as prefecture from p left join (select corporate_number, prefecture from registry) r on r.corporate_number = key group by key""")
-def operator_directory(s, d):
-    return views.directory(_links(s, d), domain.registry(s, d))
-
-
 @query(""", t as (select operator_name, max(corporate_number) as corporate_number, sum(estimated_store_count)::bigint as total_stores, count(distinct brand) as brand_count from links group by 1)
 select *, case when corporate_number <> '' and total_stores >= 20 and brand_count >= 2 then 'A' when corporate_number <> '' and total_stores >= 20 then 'B' when corporate_number <> '' then 'C' else 'D' end as quality from t""")
 def quality_classes(s, d):
@@ -276,16 +253,6 @@ def unique_url_join_keys(s, d):
     return out.withColumn("n", F.lit(1).cast("long"))
 
 
-@query(""", n as (select distinct case when c_custkey % 3 = 0 then n when c_custkey % 3 = 1 then lower(replace(n, '#', '')) else substr(n, 1, 16) end as name from (select c_custkey, concat('Operator#', lpad((c_custkey // 2)::varchar, 9, '0')) as n from customer)),
-a as (select * from registry where process in ('01', '11', '12', '13', '21', '22', '31')),
-h as (select n.name, a.corporate_number, 1 as tier from n join a on a.name = n.name union all select n.name, a.corporate_number, 2 from n join a on a.normalized_name = lower(regexp_replace(n.name, '[# ]', '', 'g')) union all select n.name, a.corporate_number, 3 from n join a on starts_with(a.normalized_name, lower(regexp_replace(n.name, '[# ]', '', 'g'))))
-select name, corporate_number, tier from h qualify row_number() over (partition by name order by tier, corporate_number) = 1""")
-def registry_cascade(s, d):
-    n = read(s, d, "customer").selectExpr("c_custkey", "concat('Operator#', lpad(cast(c_custkey div 2 as string), 9, '0')) as n")
-    names = n.select(F.expr("case when c_custkey % 3 = 0 then n when c_custkey % 3 = 1 then lower(replace(n, '#', '')) else substr(n, 1, 16) end").alias("name")).distinct()
-    return matching.registry_cascade(names, domain.registry(s, d))
-
-
 @query(""", c as (select prefecture as key, corporate_number, corporate_number::bigint * 13 % 97 as score from registry where process <> '71'),
 r as (select *, row_number() over (partition by key order by score desc, corporate_number) as r, lead(score) over (partition by key order by score desc, corporate_number) as nx from c)
 select key, corporate_number, round(score / 100.0, 4)::double as score from r where r = 1 and (nx is null or score - nx >= 3)""")
@@ -378,17 +345,6 @@ def recall_by_area(s, d):
     return audit.area_recall(st.where("official_url = ''").groupBy("prefecture").agg(F.count("*").alias("n")), st.where("phone = ''").groupBy("prefecture").agg(F.count("*").alias("n")), "prefecture")
 
 
-@query("select count(*) as n, count_if(quality is not distinct from guess) as right, round(avg((quality is not distinct from guess)::int), 4) as accuracy from (select quality, (n_chars > 400)::int as guess from labels join documents using (doc_id))", plain=True)
-def classification_accuracy(s, d):
-    rows = read(s, d, "labels").join(read(s, d, "documents").select("doc_id", (F.col("n_chars") > 400).cast("int").alias("guess")), "doc_id")
-    return audit.accuracy(rows, "quality", "guess")
-
-
-@query("select place_id, unnest(list_filter([case when operation_type = 'direct' and franchisee_name <> '' then 'direct_with_franchisee' end, case when operation_type is null then 'type_missing' end, case when is_franchise = 1 and operation_type = 'direct' then 'inconsistent' end, case when confidence < 0.05 then 'low_confidence' end], lambda x: x is not null)) as rule from judgements")
-def validation_rules(s, d):
-    return audit.rule_issues(domain.judgements(s, d), "place_id", {"direct_with_franchisee": F.expr("operation_type = 'direct' and franchisee_name <> ''"), "type_missing": F.col("operation_type").isNull(), "inconsistent": F.expr("is_franchise = 1 and operation_type = 'direct'"), "low_confidence": F.col("confidence") < 0.05})
-
-
 @query("select case when official_url = '' then 'no_url' when phone = '' then 'no_phone' when regexp_matches(name, '#9') then 'blocked_name' else 'accepted' end as reason, count(*) as n from stores group by 1")
 def acceptance_chain(s, d):
     rows = audit.first_reason(domain.stores(s, d), [("no_url", F.col("official_url") == ""), ("no_phone", F.col("phone") == ""), ("blocked_name", F.col("name").rlike("#9"))])
@@ -425,22 +381,6 @@ def point_in_polygon(s, d):
     return domain.stores(s, d).where(geo.in_polygon(F.col("lat"), F.col("lng"), shape)).select("place_id")
 
 
-@query()
-def grid_split(s, d):
-    return geo.split_box(s.range(1), 20.0, 35.0, 36.0, 139.0, 140.5, [(35.1, 139.1), (35.9, 139.3), (35.7, 140.3), (35.2, 140.1)])
-
-
-@query()
-def quadtree_levels(s, d):
-    one = s.createDataFrame([("root", 35.0, 139.0, 36.0, 140.0)], "id string, south double, west double, north double, east double")
-    return geo.quarter(geo.quarter(one))
-
-
-@query()
-def normalized_names(s, d):
-    return domain.registry(s, d).select("corporate_number", text.operator_name("name").alias("display"), text.canonical_key("name").alias("key"), text.core_key("name").alias("core"))
-
-
 # -- pages and documents -----------------------------------------------------------------------
 
 _ANCHOR = """'<a\\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'"""
@@ -462,11 +402,6 @@ def page_text(s, d):
     return read(s, d, "pages").select("page_id", F.length(t).alias("n_chars"), F.md5(t).alias("digest"))
 
 
-@query("select doc_id, pos, substr(text, greatest(pos - 200, 1), length('license') + least(pos - 1, 200) + 200) as snippet from (select doc_id, text, instr(lower(text), 'license') as pos from documents where contains(lower(text), 'license'))", plain=True)
-def keyword_snippets(s, d):
-    return evidence.snippets(read(s, d, "documents"), "license")
-
-
 @query("select place_id, host, root from (select place_id, lower(regexp_extract(official_url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) as host, regexp_replace(host, '^www\\.', '') as root from stores where official_url <> '' and not contains(official_url, 'example3'))")
 def foreign_domain_filter(s, d):
     st = domain.stores(s, d).where((F.col("official_url") != "") & ~F.contains("official_url", F.lit("example3")))
@@ -474,11 +409,6 @@ def foreign_domain_filter(s, d):
     return st.select("place_id", h.alias("host"), F.regexp_replace(h, r"^www\.", "").alias("root"))
 
 
-@query("select source, lang, count(*) as n, min(n_chars) as shortest, max(n_chars) as longest from documents where not regexp_matches(text, '\\d{3}-\\d{4}') group by all", plain=True)
-def garbage_filter(s, d):
-    return read(s, d, "documents").where(~F.col("text").rlike(r"\d{3}-\d{4}")).groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"))
-
-
 # -- streams -----------------------------------------------------------------------------------
 
 

@@ -20,11 +20,6 @@ def connected_operators(s, d):
     return components.components(st.select(F.col("operator_hint").alias("node"), F.col("official_url").alias("key")))
 
 
-@query(", m as (select operator_name as comp, brand, max(estimated_store_count) as n, max(corporate_number) as c from links group by all) select comp, sum(n)::bigint as total_stores, count(*) as brand_count, comp as names, max(c) as corporate_number from m group by comp")
-def consolidated_operators(s, d):
-    return components.consolidate(_links(s, d))
-
-
 @query(""", k as (select place_id, name, official_url, lower(translate(name, ' -', '')) as key, 'brand#25' as want from stores),
 j as (select *, (select count(*) from (select unnest(list_transform(range(1, length(key)), lambda i: key[i:i + 1])) intersect select unnest(list_transform(range(1, length(want)), lambda i: want[i:i + 1])))) as c, len(list_distinct(list_transform(range(1, length(key)), lambda i: key[i:i + 1]))) as ka, len(list_distinct(list_transform(range(1, length(want)), lambda i: want[i:i + 1]))) as kb from k),
 s as (select *, case when contains(key, want) or contains(want, key) then 1.0 else greatest(c / (ka + kb - c), 1 - levenshtein(key, want) / greatest(length(key), length(want))) end as alike from j)
@@ -42,22 +37,6 @@ def search_metrics(s, d):
     return st.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(""", u as (select operator_name, place_id, brand, discovered_via as src, 0 as accepted from operator_stores where operator_type = 'unknown' union all select operator_name, place_id, 'judged', 'judge', 1 from judgements where operation_type = 'franchisee')
-select operator_name, count(distinct place_id) as places, count(distinct brand) as brands, sum(accepted)::bigint as accepted, array_to_string(list_sort(list_distinct(list(place_id)))[1:6], ' / ') as samples, case when sum(accepted) > 0 then 'accepted' else 'candidate' end as status from u group by 1 having count(distinct place_id) >= 5""")
-def recruitment_ranking(s, d):
-    a = _os(s, d).where("operator_type = 'unknown'").select("operator_name", "place_id", "brand", F.lit(0).alias("accepted"))
-    b = domain.judgements(s, d).where("operation_type = 'franchisee'").select("operator_name", "place_id", F.lit("judged").alias("brand"), F.lit(1).alias("accepted"))
-    g = a.unionByName(b).groupBy("operator_name").agg(F.count_distinct("place_id").alias("places"), F.count_distinct("brand").alias("brands"), F.sum("accepted").cast("long").alias("accepted"), F.array_join(F.slice(F.array_sort(F.collect_set("place_id")), 1, 6).cast("array<string>"), " / ").alias("samples"))
-    return g.withColumn("status", F.when(F.col("accepted") > 0, "accepted").otherwise("candidate")).where("places >= 5")
-
-
-@query(", a as (select operator_name, sum(estimated_store_count)::bigint as s, max(estimated_store_count) as m from links group by 1), b as (select operator_name, count(distinct place_id) as p from operator_stores group by 1) select operator_name, greatest(s, m, p) as total from a join b using (operator_name)")
-def master_totals(s, d):
-    a = _links(s, d).groupBy("operator_name").agg(F.sum("estimated_store_count").alias("s"), F.max("estimated_store_count").alias("m"))
-    b = _os(s, d).groupBy("operator_name").agg(F.count_distinct("place_id").alias("p"))
-    return a.join(b, "operator_name").select("operator_name", F.greatest("s", "m", "p").alias("total"))
-
-
 @query(", y as (select o_custkey, year(o_orderdate) as y, count(*) as n from orders group by all), r as (select *, row_number() over (partition by o_custkey order by y desc) as r from y) select o_custkey, max(case when r = 1 then y end) as year_1, max(case when r = 1 then n end) as n_1, max(case when r = 2 then y end) as year_2, max(case when r = 2 then n end) as n_2 from r where r <= 2 group by 1")
 def latest_year_pair(s, d):
     from pyspark.sql import Window
@@ -67,13 +46,6 @@ def latest_year_pair(s, d):
     return r.groupBy("o_custkey").agg(*[F.max(F.when(F.col("r") == k, F.col(c))).alias(f"{n}_{k}") for k in (1, 2) for c, n in (("y", "year"), ("n", "n"))])
 
 
-@query(", c as (select place_id, case place_id % 4 when 0 then 'agreed' when 1 then 'alternative' when 2 then 'both_wrong' end as verdict, 'direct' as critic_type from judgements where place_id % 5 <> 0) select place_id, case when verdict = 'alternative' then critic_type when verdict = 'both_wrong' then 'unknown' else operation_type end as operation_type, round(greatest(least(case verdict when 'agreed' then confidence::double + 0.1 when 'both_wrong' then confidence::double * 0.5 else confidence::double end, 1.0), 0.0), 4) as confidence from judgements left join c using (place_id)")
-def panel_verdicts(s, d):
-    j = domain.judgements(s, d).withColumn("confidence", F.col("confidence").cast("double"))
-    critic = j.where("place_id % 5 <> 0").select("place_id", F.expr("case place_id % 4 when 0 then 'agreed' when 1 then 'alternative' when 2 then 'both_wrong' end").alias("verdict"), F.lit("direct").alias("critic_type"))
-    return extract.panel(j, critic)
-
-
 @query("select operator_name, string_agg(distinct brand, ' / ' order by brand) as brands from operator_stores group by 1")
 def joined_values(s, d):
     return _os(s, d).groupBy("operator_name").agg(text.join_values(F.collect_list("brand")).alias("brands"))
@@ -114,12 +86,6 @@ def layered_store_match(s, d):
     return matching.layered_match(st, moved, 0.95, 50.0).groupBy("layer").agg(F.count("*").alias("n"))
 
 
-@query()
-def extracted_companies(s, d):
-    docs = read(s, d, "documents")
-    return docs.select("doc_id", F.size(extract.company_names(F.col("text"))).alias("companies"), extract.revenue_yen(F.col("text")).alias("revenue"), F.size(extract.markdown_links(F.col("text"))).alias("links"))
-
-
 @query("select w as start, event_type, count(*) as n from (select event_type, unnest([time_bucket(interval 30 minute, ts::timestamp), time_bucket(interval 30 minute, ts::timestamp) - interval 30 minute]) as w from events) group by all", plain=True)
 def stream_sliding(s, d):
     rows = streams.file_stream(s, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from sitegraph.operators import audit, matching, views, writes
+from sitegraph.operators import audit, matching, registry, views, writes
 from sitegraph.sources import files
 
 STORES = "operator_name string, place_id long, brand string, operator_type string, discovered_via string, confidence double, verification_score double, corporate_number string"
@@ -36,10 +36,11 @@ def test_greedy_pairs(spark):
 
 
 def test_cascade_prefers_the_first_tier(spark):
-    registry = spark.createDataFrame([("1", "Abc", "abc", "01"), ("2", "Abcdef", "abcdef", "01"), ("3", "abc", "abc", "71")], "corporate_number string, name string, normalized_name string, process string")
-    names = spark.createDataFrame([("Abc",), ("abcd",), ("zzz",), ("ABC",)], "name string")
-    got = {r.name: (r.corporate_number, r.tier) for r in matching.registry_cascade(names, registry).collect()}
-    assert got == {"Abc": ("1", 1), "abcd": ("2", 3), "ABC": ("1", 2)}
+    rows = spark.createDataFrame([("1", "Abc", "abc", "01"), ("2", "Abcdef", "abcdef", "01"), ("3", "abc", "abc", "71"), ("4", "xyAbq", "xyabq", "01")], "corporate_number string, name string, normalized_name string, process string")
+    names = spark.createDataFrame([("Abc",), ("Abcd",), ("abcde",), ("zzz",), ("ABC",), ("yAb",), ("q",), ("",), (None,)], "name string")
+    got = {r.name: (r.corporate_number, r.tier) for r in registry.cascade(names, rows).collect()}
+    assert got == {"Abc": ("1", 1), "Abcd": ("2", 3), "abcde": ("2", 4), "ABC": ("1", 2), "yAb": ("4", 5), "q": ("4", 5)}
+    assert registry.cascade(names.limit(0), rows).count() == 0
 
 
 def test_audit(spark):
