@@ -22,10 +22,10 @@ import numpy as np
 from ._shared import span_hashes
 
 LIMIT = 0x250
-SLOTS = 1 << 20
-POOL_IDS = 4 << 20
+SLOTS = 1 << 19
+POOL_IDS = 2 << 20
 SPLIT_CHARS = 50_000
-TEXT_CHARS = 1 << 20
+TEXT_CHARS = 1 << 19
 _U = np.uint64
 _SPACE = "\\t-\\r \\x85\\xa0"
 _OTHER, _LETTER, _DIGIT, _BLANK = range(4)
@@ -98,12 +98,9 @@ def pre_tokens(codes: np.ndarray, heads: np.ndarray, keep_blanks: bool) -> tuple
 
 
 class Encoder:
-    """Encodes texts as the file's library does, without added special tokens.
+    """Encodes texts as the file's library does, without added special tokens; one of a file serves for ids and for counts."""
 
-    A text's ids come as bytes of dtype, or, if counting, as their number.
-    """
-
-    def __init__(self, path: str, dtype: str | None = None, counting: bool = False):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -120,26 +117,24 @@ class Encoder:
             self.kind = "byte"
         elif [x.get("type") for x in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"] and [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.kind = "word"
-        self.dtype = np.dtype(dtype or ("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 0x10000 else "<u4"))
+        self.dtype = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 0x10000 else "<u4")
         self.last = None
         if self.kind == "word" and spec["model"].get("end_of_word_suffix"):
             self.last = np.zeros(self.library.get_vocab_size(with_added_tokens=True), dtype=bool)
             self.last[[i for w, i in self.library.get_vocab(with_added_tokens=False).items() if w.endswith(spec["model"]["end_of_word_suffix"])]] = True
-        self.counting = counting
         self.code = "HI"[self.dtype.itemsize == 4]
-        self.none: bytes | int = 0 if counting else b""
         self.forget()
 
     def forget(self) -> None:
         self.keys = np.zeros(SLOTS, dtype=_U)
         self.places = np.zeros(SLOTS, dtype=np.int64)
         self.sizes = np.zeros(SLOTS, dtype=np.int32)
-        self.pool = np.zeros(0 if self.counting else POOL_IDS // 4, dtype=self.dtype)
+        self.pool = np.zeros(POOL_IDS // 4, dtype=self.dtype)
         self.used = 0
 
-    def whole(self, text: str) -> bytes | int:
+    def whole(self, text: str, counting: bool) -> bytes | int:
         ids = self.library.encode(text, add_special_tokens=False).ids
-        return len(ids) if self.counting else array(self.code, ids).tobytes()
+        return len(ids) if counting else array(self.code, ids).tobytes()
 
     def sure(self, text: str) -> bool:
         if self.kind == "library" or _UNSURE.search(text) or self.special.search(text):
@@ -183,12 +178,11 @@ class Encoder:
             where = missing[where]
             ids, count = self._encode([text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
             place = self.used + np.cumsum(count) - count
-            if not self.counting:
-                if self.used + len(ids) > len(self.pool):
-                    self.pool = np.concatenate([self.pool[: self.used], ids, np.zeros(POOL_IDS // 4, dtype=self.dtype)])
-                else:
-                    self.pool[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
+            if self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.used], ids, np.zeros(POOL_IDS // 4, dtype=self.dtype)])
+            else:
+                self.pool[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
             places[missing], sizes[missing] = place[code], count[code]
             spot = (fresh & _U(SLOTS - 1)).astype(np.int64)
             spot = np.where(self.keys[spot] == 0, spot, ((fresh >> _U(40)) & _U(SLOTS - 1)).astype(np.int64))
@@ -196,26 +190,26 @@ class Encoder:
             self.keys[spot], self.places[spot], self.sizes[spot] = fresh[one], place[one], count[one]
         return places, sizes
 
-    def ids(self, texts: list[str | None]) -> list:
-        """The ids of each text, as bytes of dtype, or their number; a null text has none."""
-        out: list = [self.none] * len(texts)
+    def ids(self, texts: list[str | None], counting: bool = False) -> list:
+        """The ids of each text, as bytes of dtype, or, if counting, their number; a null text has none."""
+        out: list = [0 if counting else b""] * len(texts)
         plain: list[int] = []
         chars = 0
         for i, t in enumerate(texts):
             if not t:
                 continue
             if not self.sure(t):
-                out[i] = self.whole(t)
+                out[i] = self.whole(t, counting)
                 continue
             plain.append(i)
             chars += len(t)
             if chars >= TEXT_CHARS:
-                self._plain(texts, plain, out)
+                self._plain(texts, plain, out, counting)
                 plain, chars = [], 0
-        self._plain(texts, plain, out)
+        self._plain(texts, plain, out, counting)
         return out
 
-    def _plain(self, texts: list, which: list[int], out: list) -> None:
+    def _plain(self, texts: list, which: list[int], out: list, counting: bool) -> None:
         """ids() of sure texts that hold something."""
         if not which:
             return
@@ -230,7 +224,7 @@ class Encoder:
         places, sizes = self._resolve(joined, codes, starts, ends)
         end = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         cut = end[np.searchsorted(starts, bounds)]
-        if self.counting:
+        if counting:
             for i, n in zip(which, np.diff(cut).tolist(), strict=True):
                 out[i] = n
             return
@@ -264,7 +258,7 @@ class Encoder:
         return np.concatenate(ends), np.concatenate(sizes)
 
     def count_spliced(self, text: str, chunk: int = SPLIT_CHARS, overlap: int = 512) -> int:
-        """Number of ids of a huge text, from overlapping chunks; for a counting encoder.
+        """Number of ids of a huge text, from overlapping chunks.
 
         Two chunks are joined at a position that both cut between pre-tokens. The left chunk cuts
         there as the whole text does, as it sees what stands before and margin characters behind;
@@ -300,16 +294,15 @@ class Encoder:
 
     def counts(self, texts: list[str | None], chunk: int = SPLIT_CHARS) -> list[int]:
         long = [self.kind == "byte" and t is not None and len(t) > chunk for t in texts]
-        short = self.ids([None if x else t for x, t in zip(long, texts, strict=True)])
+        short = self.ids([None if x else t for x, t in zip(long, texts, strict=True)], counting=True)
         return [self.count_spliced(t, chunk) if x else s for x, t, s in zip(long, texts, short, strict=True)]
 
 
-_encoders: dict[tuple, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str, dtype: str | None = None, counting: bool = False) -> Encoder:
-    """One encoder per worker process."""
-    key = (path, dtype, counting)
-    if key not in _encoders:
-        _encoders[key] = Encoder(path, dtype, counting)
-    return _encoders[key]
+def encoder(path: str) -> Encoder:
+    """One encoder of a file per worker process."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]

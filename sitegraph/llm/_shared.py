@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import shared_base
 from ..ship import ship
 
 ARROW_ROWS = "512"
@@ -35,14 +36,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.gettempdir()}/sitegraph-shared"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    """The folder that driver and executors share."""
+    return shared_base(spark)
 
 
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
@@ -63,6 +58,16 @@ def discard(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def give_back() -> None:
+    """Return free memory to the system at the end of a partition, as workers live on next to others."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about limit bytes of a string column, or one row."""
     for b in batches:
@@ -77,14 +82,14 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             end = max(at + 1, int(np.searchsorted(total, done + limit, side="right")))
             yield b.slice(at, end - at)
             at = end
-    pa.default_memory_pool().release_unused()  # workers live on, next to others
+    give_back()
 
 
 # -- words and shingles -------------------------------------------------------------------------
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _WORD = np.zeros(256, dtype=bool)
 for _r in (range(48, 58), range(65, 91), range(97, 123), (95,), range(128, 256)):
     _WORD[list(_r)] = True

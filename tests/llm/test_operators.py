@@ -140,7 +140,8 @@ def test_encoder_is_the_library():
         texts = ["".join(rng.choice(letters, rng.integers(0, 50))) for _ in range(800)]
         want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
         assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.ids(texts)] == want
-    counting = Encoder(BYTE, counting=True)
+        assert enc.ids(texts, counting=True) == [len(x) for x in want]
+    counting = Encoder(BYTE)
     lib = Tokenizer.from_file(BYTE)
     for k in range(150):
         t = "".join(rng.choice(letters, 400)) + ("q" * 300 if k % 3 == 0 else " " * 300 if k % 3 == 1 else "") + "tail of text"
