@@ -14,7 +14,7 @@ from ._shared import discard, held_out, materialise, slices, small_batches, word
 
 WINDOW_WORDS = 8
 SAMPLE = {1: 4000, 0: 6000}
-SAMPLE_WORDS = 1000
+SAMPLE_WORDS = 500
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 20, 20 << 10
 TABLE_LOG = 20
 THRESHOLD = 0.3
@@ -180,8 +180,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample, path = materialise(rows.select("h", "toxic", "text", F.pmod(F.xxhash64("h", F.lit(5)), F.lit(2)).cast("int").alias("fold")), "toxic-sample")
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^0-9a-z_\x{80}-\x{10FFFF}]+"), lambda w: w != ""))
     some = F.slice(F.array_sort(F.transform(words, lambda w: F.struct(F.crc32(w.cast("binary")).alias("c"), w.alias("w")))), 1, SAMPLE_WORDS)
-    held = sample.select("h", "toxic", "fold", F.transform(some, lambda x: x["w"]).alias("words")).orderBy("h").collect()
-    known = [(r["fold"], r["toxic"], b"".join(MARK + w.encode() for w in r["words"])) for r in held]
+    marked = F.transform(some, lambda x: F.concat(F.lit(MARK.decode()), x["w"]))
+    held = sample.select("h", "toxic", "fold", F.array_join(marked, "").cast("binary").alias("words")).orderBy("h").collect()  # a few kilobytes for each document of the sample
+    known = [(r["fold"], r["toxic"], bytes(r["words"])) for r in held]
+    del held
     got, classes = [], []
     for fold in (0, 1):
         d = dictionaries([(t, x) for f, t, x in known if f != fold])
