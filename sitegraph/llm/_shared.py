@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import shared_base
@@ -40,10 +42,25 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_base(spark)
 
 
+_made: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _sweep() -> None:
+    """Tables that results were still read from go with the driver, if its session is still there."""
+    for path, spark in _made.items():
+        try:
+            if spark.sparkContext._jsc is not None:
+                discard(spark, path)
+        except (Py4JError, OSError, AttributeError):
+            return
+
+
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(schema).parquet(path), path
