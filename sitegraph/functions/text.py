@@ -174,25 +174,20 @@ def whole_number(c: Column | str) -> Column:
 
 
 def brand_variants(c: Column | str, aliases: dict[str, str] | None = None) -> Column:
-    """The name, its parts between slashes, what parentheses hold, and the name without parentheses; distinct, in this order.
+    """Of each part between slashes the part itself, what its parentheses hold, and the part without parentheses; distinct, in this order, each by its main name.
 
     A part with another spelling in aliases stands by its main name alone.
     """
-    if aliases:
-        parts = F.filter(F.transform(F.split(F.trim(nz(c)), "[/／]"), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.trim(nz(c)), "[/／]"), lambda x: F.trim(x)), lambda x: x != "")
 
-        def spread(part: Column) -> Column:
-            main = canonical_brand(part, aliases)
-            inner = F.regexp_extract_all(part, F.lit(r"[(（]([^)）]+)[)）]"), F.lit(1))
-            outer = F.trim(F.regexp_replace(part, r"[(（][^)）]*[)）]", ""))
-            return F.when(main != part, F.array(main)).otherwise(F.concat(F.array(part), inner, F.array(outer)))
+    def spread(part: Column) -> Column:
+        main = canonical_brand(part, aliases or {})
+        inner = F.regexp_extract_all(part, F.lit(r"[(（]([^)）]+)[)）]"), F.lit(1))
+        outer = F.trim(F.regexp_replace(part, r"[(（][^)）]*[)）]", ""))
+        return F.when(main != part, F.array(main)).otherwise(F.concat(F.array(part), inner, F.array(outer)))
 
-        named = F.transform(F.flatten(F.transform(parts, spread)), lambda x: canonical_brand(x, aliases))
-        return F.array_distinct(F.filter(named, lambda x: x != ""))
-    s = F.trim(nz(c))
-    inner = F.regexp_extract_all(s, F.lit(r"[(（]([^)）]+)[)）]"), F.lit(1))
-    outer = F.trim(F.regexp_replace(s, r"[(（][^)）]*[)）]", ""))
-    return F.array_distinct(F.filter(F.transform(F.concat(F.array(s), F.split(s, "[/／]"), inner, F.array(outer)), lambda x: F.trim(x)), lambda x: x != ""))
+    named = F.transform(F.flatten(F.transform(parts, spread)), lambda x: canonical_brand(x, aliases or {}))
+    return F.array_distinct(F.filter(named, lambda x: x != ""))
 
 
 #: Words that mark a part of an address as a building, and what marks it as a floor.
@@ -291,3 +286,12 @@ def canonical_url(url: Column | str, host: str, home: str) -> Column:
     path = F.when(path == "", "/").when(F.endswith(path, F.lit("/")), path).otherwise(F.concat(path, F.lit("/")))
     ours = F.contains(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1), F.lit(host))
     return F.when(ours, F.concat(F.lit(home), path)).otherwise(u)
+
+
+def text_before(matches: Column, gaps: Column, chars: int = 200, shortest: int = 5) -> Column:
+    """For each match of a text the characters before it, from all matches and the gaps around them, in order; matches have the shortest length at least."""
+    pairs = F.arrays_zip(gaps.alias("g"), matches.alias("m"))
+    back = -(-chars // shortest)
+    earlier = lambda i: F.array_join(F.transform(F.slice(pairs, F.greatest(i - back + 1, F.lit(1)), F.least(i, F.lit(back))), lambda p: F.concat(nz(p["g"]), nz(p["m"]))), "")
+    whole = F.transform(matches, lambda m, i: F.concat(F.when(i > 0, earlier(i)).otherwise(""), F.get(gaps, i)))
+    return F.transform(whole, lambda b: F.substring(b, F.greatest(F.length(b) - chars + 1, F.lit(1)), F.lit(chars)))

@@ -76,3 +76,23 @@ def pollution(os: DataFrame, brands: int) -> DataFrame:
 
 def purge(os: DataFrame, bad: DataFrame) -> DataFrame:
     return os.join(bad.select("operator_name"), "operator_name", "left_anti")
+
+
+def truth_report(truth: DataFrame, found: DataFrame, keys: dict[str, list[str]], most: int = 20) -> DataFrame:
+    """part, truth, hits, recall, misses for each named set of key columns: distinct keys of the truth, how many are found, and the first that are not, in order, at most a few for a report."""
+    out = None
+    for part, cols in keys.items():
+        t, f = truth.select(*cols).distinct(), found.select(*cols).distinct().withColumn("hit", F.lit(1))
+        name = F.concat_ws("/", *cols)
+        rows = t.join(f, cols, "left").withColumn("name", name)
+        missed = rows.where("hit is null").orderBy("name").limit(most).agg(F.array_join(F.array_sort(F.collect_list("name")), " | ").alias("misses"))
+        one = rows.agg(F.count("*").alias("truth"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits")).crossJoin(F.broadcast(missed))  # a row each
+        one = one.select(F.lit(part).alias("part"), "truth", "hits", rate(F.col("hits"), F.col("truth")).alias("recall"), "misses")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def overall_recall(found: DataFrame, reference: DataFrame, key: str) -> DataFrame:
+    """found, n and recall over all areas where the reference has any."""
+    both = reference.where("n > 0").join(found.withColumnRenamed("n", "found"), key, "left")
+    return both.agg(F.coalesce(F.sum("found"), F.lit(0)).alias("found"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).withColumn("recall", F.round(F.coalesce(F.try_divide(F.col("found").cast("double"), F.col("n").cast("double")), F.lit(0.0)), 3))

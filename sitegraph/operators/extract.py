@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import brand_match_key, brand_similarity, nz
+from ..functions.text import brand_match_key, brand_similarity, nz, text_before
 
 #: An amount behind a label of revenue, with or without a colon, and the fiscal period it is for; yen in a unit.
 INLINE_REVENUE = r"売上(?:高|収益|額)?[:：][^<\n]{0,60}?([0-9][0-9,\.]*)\s*(億円|百万円|千円|万円|円)"
@@ -34,9 +34,9 @@ def revenues(pages: DataFrame, key: str, text: str) -> DataFrame:
     hits = lambda k: F.call_function("regexp_extract_all", F.col("t"), F.col("p"), F.lit(k))
     gaps = F.call_function("split", F.col("t"), F.col("p"), F.lit(-1))
     rows = rows.select(key, hits(0).alias("m"), hits(1).alias("a"), hits(2).alias("u"), gaps.alias("g"))
-    before = F.transform("m", lambda m, i: F.concat(F.when(i > 0, F.get("m", i - 1)).otherwise(""), F.get("g", i)))
+    before = text_before(F.col("m"), F.col("g"))
     each = rows.select(key, F.posexplode(F.arrays_zip("m", "a", "u", before.alias("b"))).alias("i", "x")).select(key, "i", "x.*")
-    periods = F.regexp_extract_all(F.expr("right(b, 200)"), F.lit(PERIOD), F.lit(1))
+    periods = F.regexp_extract_all("b", F.lit(PERIOD), F.lit(1))
     inside = F.regexp_extract("m", PERIOD, 1)
     times = F.element_at(F.create_map(*[x for u, n in UNITS.items() for x in (F.lit(u), F.lit(float(n)))]), F.col("u"))
     yen = F.floor(F.regexp_replace("a", ",", "").try_cast("double") * times).cast("long")

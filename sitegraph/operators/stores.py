@@ -277,3 +277,14 @@ def scope_report(found: DataFrame, least: int = 20) -> DataFrame:
 def same_company(a: Column, b: Column) -> Column:
     """Core names alike."""
     return (company_core(a) != "") & (company_core(a) == company_core(b))
+
+
+def research_stores(stores: DataFrame, brand: str, most: int = 0) -> DataFrame:
+    """Stores of a brand with a URL, by name and id, at most a few if a number is given (the work that a person orders)."""
+    rows = stores.where((F.col("brand") == brand) & (nz("official_url") != "")).orderBy("name", "place_id")
+    return rows.limit(most) if most else rows
+
+
+def bottom_up(stores: DataFrame, brand: str) -> DataFrame:
+    """Stores of a brand, null address and URL as empty."""
+    return stores.where(F.col("brand") == brand).select("place_id", "brand", "name", nz("address").alias("address"), "lat", "lng", nz("official_url").alias("official_url"))

@@ -12,9 +12,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence that an operator runs a store, as it arrived: several rows for a pair, in order of seq."""
-    line, orders, customer, part = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "part"))
+    line, orders, part = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
     return (
-        line.join(orders, F.expr("l_orderkey = o_orderkey")).join(customer, F.expr("o_custkey = c_custkey")).join(part, F.expr("l_partkey = p_partkey"))
+        line.join(orders.withColumn("c_custkey", F.col("o_custkey")), F.expr("l_orderkey = o_orderkey")).join(part, F.expr("l_partkey = p_partkey"))
         .selectExpr(
             "cast(l_linenumber as int) as seq", "concat('Operator#', lpad(cast(c_custkey div 3 as string), 9, '0')) as operator_name", "l_orderkey as place_id", "p_brand as brand",
             "case when l_linenumber = 7 then 'direct' when l_returnflag = 'A' then 'franchisee' when l_returnflag = 'R' then 'franchisor' else 'unknown' end as operator_type",
@@ -40,8 +40,7 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customer = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
-    return orders.join(customer, F.expr("o_custkey = c_custkey")).selectExpr(
+    return read(spark, sf_dir, "orders").withColumn("c_custkey", F.col("o_custkey")).selectExpr(
         "o_orderkey as place_id", "case when o_orderstatus = 'O' then 1 else 0 end as is_franchise",
         "case o_orderstatus when 'F' then 'franchisee' when 'P' then 'direct' end as operation_type", "concat('Operator#', lpad(cast(c_custkey div 3 as string), 9, '0')) as operator_name",
         "case when o_custkey % 3 = 0 then '' else concat('F-', concat('Operator#', lpad(cast(c_custkey div 3 as string), 9, '0'))) end as franchisee_name", "cast((o_orderkey % 100) / 100.0 as decimal(4,2)) as confidence", "cast(o_orderdate as date) as judged_at",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import components, master, matching, stores, views
+from ..operators import audit, components, master, matching, stores, views
 from ..operators.ranks import positioned
 from . import domain, jp
 from .catalog import TARGETS, _links, _os, query
@@ -375,3 +375,34 @@ def known_brands(s, d):
     have = _os(s, d).groupBy("operator_name").agg(F.collect_set("brand").alias("brands"))
     asked = domain.arrivals(s, d).where("seq = 1").select("operator_name", "brand").distinct()
     return asked.join(have, "operator_name").select("operator_name", "brand", F.array_contains("brands", F.col("brand")).alias("known"))
+
+
+@query("select place_id, name from stores where brand = 'Brand#23' and official_url <> '' order by name, place_id limit 30")
+def research_stores(s, d):
+    return stores.research_stores(domain.stores(s, d), "Brand#23", 30).select("place_id", "name")
+
+
+@query("select place_id, brand, name, address, lat, lng, official_url from stores where brand = 'Brand#41'")
+def bottom_up_stores(s, d):
+    st = domain.stores(s, d).withColumn("official_url", F.expr("nullif(official_url, '')"))
+    return stores.bottom_up(st, "Brand#41")
+
+
+_TRUTH = ", t as (select operator_name, brand from arrivals where discovered_via = 'per_store' and seq <= 2), f as (select operator_name, brand from arrivals where discovered_via = 'chain_discovery' and seq >= 5)"
+
+
+def _truth(part: str, name: str) -> str:
+    return f"select '{part}' as part, count(*) as truth, count_if(hit) as hits, round(count_if(hit) / count(*), 4) as recall, coalesce(array_to_string((list(name order by name) filter (where not hit))[1:20], ' | '), '') as misses from (select {name} as name, bool_or({name} in (select {name} from f)) as hit from t group by 1)"
+
+
+@query(f"{_TRUTH} {_truth('brand', 'brand')} union all {_truth('operator', 'operator_name')} union all " + _truth("link", "concat_ws('/', operator_name, brand)"))
+def truth_report(s, d):
+    """How much of a truth is found, by brand, operator and link, with what is missed."""
+    a = domain.arrivals(s, d)
+    return audit.truth_report(a.where("discovered_via = 'per_store' and seq <= 2"), a.where("discovered_via = 'chain_discovery' and seq >= 5"), {"brand": ["brand"], "operator": ["operator_name"], "link": ["operator_name", "brand"]})
+
+
+@query(", f as (select prefecture, count(*) as found from stores where official_url = '' group by 1), r as (select prefecture, count(*) as n from stores where phone = '' group by 1) select coalesce(sum(found), 0)::bigint as found, sum(n)::bigint as n, round(coalesce(sum(found), 0) / sum(n), 3) as recall from r left join f using (prefecture) where n > 0")
+def overall_recall(s, d):
+    st = domain.stores(s, d)
+    return audit.overall_recall(st.where("official_url = ''").groupBy("prefecture").agg(F.count("*").alias("n")), st.where("phone = ''").groupBy("prefecture").agg(F.count("*").alias("n")), "prefecture")

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from sitegraph.plans import catalog, decisions, entities, exports, more  # noqa: F401
+from sitegraph.plans import catalog, decisions, entities, exports, more, sites  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels".split()
