@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ._shared import discard, materialise
 
 
+BROADCAST_ROWS = 200_000
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
     return row[0], row[1]
@@ -16,8 +19,9 @@ def _mark(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, comp) for each node of the edges (u, v); comp is the least node of the component.
 
-    Each round is two grouped minima joined back to the edges; groups are pre-aggregated and the
-    joins may be split by the adaptive planner, so a hub of many edges does not fall to one task.
+    Each round is two grouped minima joined back to the edges; groups are pre-aggregated. The minima
+    are broadcast where the edges, which were counted, are few (two numbers each); otherwise the
+    adaptive planner may split the joins, so a hub of many edges does not fall to one task.
     Rounds are cut by tables in the shared folder. No edges give an empty table; loops are dropped.
     """
     spark = edges.sparkSession
@@ -26,12 +30,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not mark[0]:
             break
+        near = F.broadcast if 2 * mark[0] <= BROADCAST_ROWS else lambda df: df
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(near(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large, large_path = materialise(large, "cc")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        small = large.join(near(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         small = small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         new, new_path = materialise(small, "cc")
         discard(spark, path, large_path)
