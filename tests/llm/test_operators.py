@@ -414,6 +414,38 @@ def test_mixing(documents, odd):
     assert mixing.mixed_rows(odd, 1.5).columns == odd.columns and mixing.mixed_rows(odd, 1.5).count() >= odd.count()
 
 
+def test_mixing_against_brute_force(spark, documents, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 16)
+    most = 1.7
+    got = {r.doc_id: r for r in mixing.mix(documents, max_repeat=most).collect()}
+    rows = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("src"), F.xxhash64("doc_id", "text", F.lit(17)).alias("h"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+")).alias("n")).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.src, []).append(r)
+    tokens = {s: sum(r.n for r in held) for s, held in by.items()}
+    p = {s: t / sum(tokens.values()) for s, t in tokens.items()}
+    a = max(0.0, 1 - np.log(most) / np.log(max(p.values()) / min(p.values())))  # the least exponent within the limit
+    least = min(x ** (a - 1) for x in p.values())
+    blocks = {s: -(-len(held) // 16) for s, held in by.items()}
+    named = spark.createDataFrame([(s, b) for s in by for b in range(blocks[s])], "src string, block long")
+    lined = {(r.src, r.block): r.o for r in named.withColumn("o", F.xxhash64("src", "block", F.lit(17))).collect()}
+    partly = 0
+    for s, held in by.items():
+        repeats = got[held[0].doc_id].repeats
+        assert abs(repeats - p[s] ** (a - 1) / least) < 1e-3 and abs(got[held[0].doc_id].weight - p[s] ** a / sum(x**a for x in p.values())) < 1e-3
+        left = (repeats - np.floor(repeats)) * tokens[s]
+        for rank, b in enumerate(sorted({r.h % blocks[s] for r in held}, key=lambda b: (lined[s, b], b)), 1):
+            mine = sorted((r for r in held if r.h % blocks[s] == b), key=lambda r: r.h)
+            size, run = sum(r.n for r in mine), 0
+            for r in mine:
+                run += r.n
+                more = left >= size or (0 < left < size and run <= left)
+                partly += 0 < left < size
+                assert (got[r.doc_id].block, got[r.doc_id].block_rank, got[r.doc_id].copies) == (b, rank, int(np.floor(repeats)) + more)
+            left -= size
+    assert partly and len(got) == len(rows)
+
+
 def test_mixing_limits_and_repeats(spark):
     rows = [(1, "a b c", "x")] * 3000 + [(i, "d e", "x") for i in range(2, 1500)] + [(i, "f g h", "y") for i in range(5000, 5100)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
