@@ -59,11 +59,9 @@ def occurrences(pages: DataFrame, key: str, text: str, keywords: tuple[str, ...]
     costs no more than their number.
     """
     rows = pages.select(key, F.col(text).alias("text")).where("text is not null").withColumn("rid", F.monotonically_increasing_id())
-    found = None
-    for n, w in enumerate(keywords):
-        parts = F.split("text", rf"\Q{w}\E", -1)
-        one = rows.where(F.contains("text", F.lit(w))).select("rid", F.lit(n).alias("n"), F.posexplode(F.transform(parts, lambda p: F.length(p))).alias("i", "gap"), F.size(parts).alias("size"))
-        found = one if found is None else found.unionByName(one)
+    pieces = F.array(*[F.struct(F.lit(n).alias("n"), F.transform(F.split("text", rf"\Q{w}\E", -1), lambda p: F.length(p)).alias("gaps")) for n, w in enumerate(keywords)])
+    each = rows.select("rid", F.explode(F.filter(pieces, lambda x: F.size(x["gaps"]) > 1)).alias("x"))
+    found = each.select("rid", "x.n", F.size("x.gaps").alias("size"), F.posexplode("x.gaps").alias("i", "gap"))
     lengths = F.element_at(F.array(*[F.lit(len(w)) for w in keywords]), F.col("n") + 1)
     run = Window.partitionBy("rid", "n").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     at = found.withColumn("pos", F.sum("gap").over(run) + F.col("i") * lengths).where("i < size - 1").select("rid", "n", F.col("pos").cast("int").alias("pos"))
