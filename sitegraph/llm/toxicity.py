@@ -14,7 +14,7 @@ from ._shared import discard, held_out, materialise, slices, small_batches, word
 
 WINDOW_WORDS = 8
 SAMPLE = {1: 4000, 0: 6000}
-SAMPLE_WORDS = 500
+SAMPLE_WORDS = 1000
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 20, 20 << 10
 TABLE_LOG = 20
 THRESHOLD = 0.3
