@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.japan import compact
 from ..functions.text import COMPANY_FORMS, canonical_key, core_key, may_run_stores, name_similarity, nz, operator_name
+from ..shared import small
 
 #: Processes of companies that exist.
 ACTIVE = ("01", "11", "12", "13", "21", "22", "31")
@@ -196,11 +197,15 @@ def by_location(stores: DataFrame, registry: DataFrame) -> DataFrame:
     """place_id, n, corporate_number, reason: companies that may run stores in a store's prefecture and city and in the street its town begins; a single one is chosen.
 
     stores has place_id and parts (place_parts of the address). Stores without a prefecture or city don't appear.
+    Companies are counted once for each beginning of a street where a store is, not for each store.
     """
+    at = ("pref", "city", "town")
     s = stores.select("place_id", "parts.*").where("pref <> '' and city <> ''")
-    r = active(registry).where(may_run_stores("name")).select("corporate_number", F.col("prefecture").alias("pref"), "city", "street")
-    met = s.join(r, ["pref", "city"]).where(F.startswith(nz("street"), F.col("town"))).groupBy("place_id").agg(F.count("*").alias("n"), F.min("corporate_number").alias("number"))
-    out = s.select("place_id").join(met, "place_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    r = active(registry).where(may_run_stores("name")).select("corporate_number", F.col("prefecture").alias("pref"), "city", nz("street").alias("street"))
+    streets = r.groupBy("pref", "city", "street").agg(F.count("*").alias("n"), F.min("corporate_number").alias("number"))
+    heads = streets.withColumn("town", F.explode(F.transform(F.sequence(F.lit(0), F.length("street")), lambda k: F.substring(F.col("street"), F.lit(1), k))))
+    told = small(heads.join(s.select(*at).distinct(), list(at), "left_semi").groupBy(*at).agg(F.sum("n").alias("n"), F.min("number").alias("number")))
+    out = s.join(told, list(at), "left").withColumn("n", F.coalesce("n", F.lit(0)))
     reason = F.when(F.col("n") == 1, "single_match").when(F.col("n") > 1, F.concat(F.lit("multi_match("), F.col("n").cast("string"), F.lit(")"))).otherwise("no_match")
     return out.select("place_id", "n", F.when(F.col("n") == 1, F.col("number")).otherwise("").alias("corporate_number"), reason.alias("reason"))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from sitegraph.operators import matching
+from sitegraph.operators import matching, registry
 from sitegraph.plans import catalog, domain, more  # noqa: F401
 
 
@@ -163,3 +163,28 @@ def test_near_pairs_at_any_latitude(spark, lat):
     want = sorted((a.id, b.id) for a in rows for b in rows if metres(a, b) <= 1000)
     assert len(want) > 60
     assert sorted((x.a_id, x.b_id) for x in matching.near_pairs(df, df, 1000.0).collect()) == want
+
+
+def test_companies_at_stores_are_counted_once_for_a_street(spark):
+    companies = spark.createDataFrame([(f"{i:013d}", "株式会社山田", "01", "東京都", "港区", f"芝浦{i % 3}-{i % 2}") for i in range(60)] + [("9" * 13, "株式会社山田", "01", "東京都", "港区", "高輪1-1"), ("8" * 13, "株式会社山田", "71", "東京都", "港区", "高輪1-2"), ("7" * 13, "株式会社山田", "01", "東京都", "港区", None)], "corporate_number string, name string, process string, prefecture string, city string, street string")
+    places = [(i, ("東京都", "港区" if i % 5 else "", ("芝浦1", "高輪", "海岸", "", None)[i % 6 % 5])) for i in range(40)]
+    out = registry.by_location(spark.createDataFrame(places, "place_id int, parts struct<pref string, city string, town string>"), companies)
+    want = {"芝浦1": (20, "", "multi_match(20)"), "高輪": (1, "9" * 13, "single_match"), "海岸": (0, "", "no_match"), "": (62, "", "multi_match(62)"), None: (0, "", "no_match")}
+    assert sorted(map(tuple, out.collect())) == sorted((i, *want[town]) for i, (_, city, town) in places if city)
+    assert joined_rows(out) <= 40
+
+
+def joined_rows(df):
+    """The most rows that a join made in the last run of df, checkpoints aside."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if "AdaptiveSparkPlan" in p.nodeName():
+            p = p.executedPlan()
+        if "QueryStage" in p.nodeName():
+            p = p.plan()
+        if "Join" in p.nodeName():
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        kids = p.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return most
