@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from sitegraph.operators import matching, registry
+from sitegraph.operators import matching, registry, stores
 from sitegraph.plans import catalog, domain, more  # noqa: F401
 
 
@@ -174,6 +174,22 @@ def test_companies_at_stores_are_counted_once_for_a_street(spark):
     assert joined_rows(out) <= 40
 
 
+def test_pages_meet_each_core_and_address_once(spark):
+    cores, addresses = ("芝浦1", "芝浦", "芝浦12店", "高輪", ""), ("港区 1-2", "港区1-2-3", "", None)
+    pages = [(i, cores[i % 5], addresses[i // 5 % 4]) for i in range(80)]
+    shops = [(1000 + i, cores[i % 3], addresses[i // 3 % 4]) for i in range(24)] + [(1000, cores[0], addresses[0]), (2000, "高輪", "港区9")]
+    out = stores.matched_pages(spark.createDataFrame(pages, "page_id int, core string, address string"), spark.createDataFrame(shops, "place_id int, core string, address string"))
+    flat, want = lambda a: (a or "").replace(" ", ""), []
+    for page, core, address in pages:
+        hits = {(p, flat(a)) for p, c, a in shops if core and (core in c or c in core)}
+        near = [p for p, a in hits if a and flat(address) and (a in flat(address) or flat(address) in a)]
+        reason = "store_core_missing" if not core else "store_not_found" if not hits else "" if len(near) == 1 else "store_address_ambiguous" if near else "" if len(hits) == 1 else "store_name_ambiguous"
+        want.append((page, None if reason else min(near or [p for p, _ in hits]), reason))
+    assert {r for _, _, r in want} == {"", "store_core_missing", "store_address_ambiguous", "store_name_ambiguous"}
+    assert sorted(out.collect()) == sorted(want)
+    assert joined_rows(out) <= 80
+
+
 def joined_rows(df):
     """The most rows that a join made in the last run of df, checkpoints aside."""
     most, todo = 0, [df._jdf.queryExecution().executedPlan()]
