@@ -56,6 +56,19 @@ def _sweep() -> None:
             return
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """The driver's JVM returns freed native memory to the system, as many plans leave scattered pieces of it; not every JVM knows how."""
+    jvm = spark.sparkContext._jvm
+    try:
+        beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        called = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        called[0], called[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        invoke.invoke(beans, called)
+    except Py4JError:
+        pass
+
+
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -63,6 +76,7 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> tuple[Da
     _made[path] = spark
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
+    trim_driver(spark)
     return spark.read.schema(schema).parquet(path), path
 
 

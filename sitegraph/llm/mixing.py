@@ -51,12 +51,11 @@ def source_weights(sources: DataFrame, max_repeat: float, target_entropy: float
     low, high = 0.0, STEEPEST if target_entropy is not None else 1.0
     for _ in range(ROUNDS):
         grid = [low + (high - low) * i / SECTIONS for i in range(SECTIONS + 1)]
-        cols = []
-        for i, a in enumerate(grid):
-            cols += [F.sum(F.pow(p, F.lit(a))).alias(f"z{i}"), F.sum(F.pow(p, F.lit(a)) * F.log(p)).alias(f"l{i}"), F.max(F.pow(p, F.lit(a - 1))).alias(f"x{i}"), F.min(F.pow(p, F.lit(a - 1))).alias(f"n{i}")]
-        r = able.agg(*cols).first()
-        entropy = [math.log(r[f"z{i}"]) - a * r[f"l{i}"] / r[f"z{i}"] for i, a in enumerate(grid)]
-        fits = [r[f"x{i}"] / r[f"n{i}"] <= max_repeat * (1 + 1e-12) and (target_entropy is None or entropy[i] <= target_entropy + 1e-12) for i in range(len(grid))]
+        up, less = F.pow(p, F.element_at("grid", F.col("i") + 1)), F.pow(p, F.element_at("grid", F.col("i") + 1) - 1)
+        tried = able.withColumn("grid", F.array(*map(F.lit, grid))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(SECTIONS))))
+        r = sorted(tried.groupBy("i").agg(F.sum(up).alias("z"), F.sum(up * F.log(p)).alias("l"), F.max(less).alias("x"), F.min(less).alias("n")).collect())  # a row for each exponent
+        entropy = [math.log(r[i]["z"]) - a * r[i]["l"] / r[i]["z"] for i, a in enumerate(grid)]
+        fits = [r[i]["x"] / r[i]["n"] <= max_repeat * (1 + 1e-12) and (target_entropy is None or entropy[i] <= target_entropy + 1e-12) for i in range(len(grid))]
         if not any(fits):
             raise ValueError(f"no exponent up to {STEEPEST} gives an entropy of {target_entropy} within {max_repeat} repeats")
         k = fits.index(True)
@@ -104,7 +103,8 @@ def _permuted(sums: DataFrame, seed: int) -> DataFrame:
 def _plan(docs: DataFrame, max_repeat: float, target_entropy: float | None, seed: int, tokenizer: str | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(documents with block, sources with their number of blocks, blocks with what they get, documents of cut blocks that get one more)."""
     small, _ = materialise(_counted(docs, tokenizer, seed), "mix-docs")
-    sources, _ = materialise(source_weights(small.groupBy("src").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), max_repeat, target_entropy)[0], "mix-sources")
+    sources, _ = materialise(small.groupBy("src").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "mix-counts")
+    sources, _ = materialise(source_weights(sources, max_repeat, target_entropy)[0], "mix-sources")
     lots = _small(sources.select("src", "tokens", "weight", "repeats", F.ceil(F.col("docs") / BLOCK_DOCS).alias("n_blocks")))
     placed = small.join(lots, "src").withColumn("block", F.pmod("h", "n_blocks"))
     sums = placed.groupBy("src", "block").agg(F.sum("n_tokens").alias("held"), F.first("repeats").alias("repeats"), F.first("tokens").alias("tokens"), F.first("weight").alias("weight"))

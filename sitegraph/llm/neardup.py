@@ -261,8 +261,9 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     named = slim.join(joined, "cls")
     least = named.groupBy("comp").agg(F.min("rep").alias("least"))
     info = slim.join(named.join(least, "comp").select("cls", "least"), "cls", "left").join(links, "cls", "left")
-    info = info.select("cls", F.coalesce("least", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    hot = info.join(slim.where(F.col("copies") >= HOT_COPIES).select("cls"), "cls", "left_semi").withColumnsRenamed({"class_id": "hot_id", "n_links": "hot_links"})
+    info, info_path = materialise(info.select("cls", "copies", F.coalesce("least", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "info")  # read three times
+    hot = info.where(F.col("copies") >= HOT_COPIES).select("cls", F.col("class_id").alias("hot_id"), F.col("n_links").alias("hot_links"))
+    info = info.drop("copies")
     if hot.count() <= BROADCAST_ROWS:  # rows of a text of many copies stay where they are
         seen = sketched.select("doc_id", "cls").join(F.broadcast(hot), "cls", "left")
         cold = seen.where("hot_links is null").select("doc_id", "cls").join(info, "cls", "left")
@@ -271,7 +272,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, threshold: float = 0.8,
         told = sketched.select("doc_id", "cls").join(info, "cls", "left")
     out = told.select("doc_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     out, _ = materialise(out, "classed")
-    discard(spark, sketch_path, class_path, group_path, placed_path, near_path, dealt_path, found_path, joined_path)
+    discard(spark, sketch_path, class_path, group_path, placed_path, near_path, dealt_path, found_path, joined_path, info_path)
     return out
 
 
@@ -296,12 +297,12 @@ def one_per_group(docs: DataFrame, **options) -> DataFrame:
     """
     head, row = unused(docs, "head"), unused(docs, "text_hash")
     joined = ngram_jaccard_join(docs, **options)
-    heads = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("c"), F.max("n_links").alias("links"))
-    total = joined.groupBy("doc_id").count()
-    heads, _ = materialise(heads.join(total, heads.doc_id.eqNullSafe(total.doc_id), "left").select(heads.doc_id.alias(head), F.when((F.col("c") == 1) & (F.col("count") == 1) | (F.col("links") == 0), True).otherwise(False).alias("sole")), "heads")
-    sole = heads.where("sole").select(head)
-    many = heads.where("not sole").select(head)
-    once = docs.join(_small(sole), docs.doc_id.eqNullSafe(F.col(head)), "left_semi")
+    own = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    told = joined.groupBy("doc_id").agg(F.count_if(own).alias("c"), F.max(F.when(own, F.col("n_links"))).alias("links"), F.count("*").alias("count"))
+    sole = (F.col("c") == 1) & (F.col("count") == 1) | F.coalesce(F.col("links") == 0, F.lit(False))
+    others, _ = materialise(told.where(~sole).select(F.col("doc_id").alias(head), (F.col("c") > 0).alias("many")), "others")  # as a rule fewer than those that stay
+    many = others.where("many").select(head)
+    once = docs.join(_small(others.select(head)), docs.doc_id.eqNullSafe(F.col(head)), "left_anti")
     if not many.limit(1).count():
         return once
     rest = docs.join(many, docs.doc_id.eqNullSafe(F.col(head)), "left_semi").withColumn(row, F.xxhash64("text"))
