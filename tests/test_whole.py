@@ -12,7 +12,7 @@ import pytest
 
 from sitegraph.operators import matching, registry, stores
 from sitegraph.operators.greedy import greedy_in_groups
-from sitegraph.plans import catalog, domain, more  # noqa: F401
+from sitegraph.plans import catalog, domain, entities, jp, more  # noqa: F401
 
 
 @pytest.fixture(scope="module")
@@ -229,6 +229,17 @@ def test_companies_at_stores_are_counted_once_for_a_street(spark):
     assert joined_rows(out) <= 40
 
 
+def test_companies_at_stores_takes_every_store(spark, small):
+    companies = [r for r in jp.registry(spark, small).collect() if r.process == "01"]
+    want = []
+    for r in jp.stores(spark, small).collect():
+        town = r.town + (str(r.place_id % 9 + 1) if r.place_id % 2 == 0 else "")
+        met = [c.corporate_number for c in companies if (c.prefecture, c.city) == (r.pref, r.city) and c.street.startswith(town)]
+        want.append((r.place_id, len(met), met[0] if len(met) == 1 else "", "no_match" if not met else "single_match" if len(met) == 1 else f"multi_match({len(met)})"))
+    assert len(want) == 63 and {n for p, n, _, _ in want if p % 3 == 0} >= {0, 1}
+    assert sorted(map(tuple, catalog.QUERIES["companies_at_stores"](spark, small).collect())) == sorted(want)
+
+
 def test_pages_meet_each_core_and_address_once(spark):
     cores, addresses = ("芝浦1", "芝浦", "芝浦12店", "高輪", ""), ("港区 1-2", "港区1-2-3", "", None)
     pages = [(i, cores[i % 5], addresses[i // 5 % 4]) for i in range(80)]
